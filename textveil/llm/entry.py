@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import ball_tree, jaccard_join
 
 QUERIES = {
+    "op1_exact_top_k": ball_tree.op1_exact_top_k,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": ball_tree.OP1_SQL,
+}
