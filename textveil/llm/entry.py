@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ball_tree, bpe_lexicon, jaccard_join
+from . import ball_tree, bpe_lexicon, jaccard_join, quality_nbsvm
 
 QUERIES = {
+    "op7_quality_classifier": quality_nbsvm.op7_quality_classifier,
     "op9_bpe_codec": bpe_lexicon.op9_bpe_codec,
     "op1_exact_top_k": ball_tree.op1_exact_top_k,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
