@@ -111,18 +111,98 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(h: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of k-word shingles; fewer than k words make one shingle; none, none."""
-    if not len(h):
-        return h
-    k = min(k, len(h))
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _byte_values() -> np.ndarray:
+    v = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    v[ord("A") : ord("Z") + 1] = v[ord("a") : ord("z") + 1]
+    return v
+
+
+class FlatWords:
+    """64-bit hashes of all words of a string column, without a Python object for any word.
+
+    A word's hash is a polynomial of its bytes' values (A-Z as a-z), taken from prefix
+    sums over the column's buffer, and mixed with its length. ``chunks`` walks the column
+    in pieces of about ``size`` bytes.
+    """
+
+    def __init__(self, size: int = 1 << 20):
+        self.size, self.values = size, _byte_values()
+        self._powers(size)
+
+    def _powers(self, n: int) -> None:
+        one = np.ones(n, np.uint64)
+        one[1:] = np.uint64(_ODD)
+        self.up = np.cumprod(one, dtype=np.uint64)
+        one[1:] = np.uint64(_INVERSE)
+        self.down = np.cumprod(one, dtype=np.uint64)
+
+    def chunks(self, col):
+        """(first row, word hashes, begin) per piece: row first + i has words begin[i]:begin[i+1]."""
+        if isinstance(col, pa.ChunkedArray):
+            col = col.combine_chunks()
+        if pa.types.is_large_string(col.type):
+            col = col.cast(pa.string())
+        if col.null_count:
+            col = col.fill_null("")
+        n = len(col)
+        if not n:
+            return
+        offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
+        data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.empty(0, np.uint8)
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + self.size, "right")) - 1)
+            yield lo, *self._words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            lo = hi
+
+    def _words(self, b: np.ndarray, offsets: np.ndarray):
+        if not len(b):
+            return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+        if len(b) > len(self.up):
+            self._powers(len(b))
+        space = _SPACE[b]
+        edge = np.zeros(len(b) + 1, bool)
+        edge[offsets] = True
+        before = edge[:-1].copy()
+        before[1:] |= space[:-1]
+        after = edge[1:].copy()
+        after[:-1] |= space[1:]
+        starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(after & ~space) + 1
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(self.values[b] * self.up[: len(b)], out=total[1:])
+        h = (total[ends] - total[starts]) * self.down[starts]
+        return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), np.searchsorted(starts, offsets)
+
+
+def runs(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each word on; the last k - 1 places are left out."""
     n = len(h) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
     s = np.full(n, np.uint64(k), np.uint64)
     for j in range(k):
-        s *= np.uint64(0x9E3779B97F4A7C15)
+        s *= np.uint64(_ODD)
         s += h[j : j + n]
         s ^= s >> np.uint64(29)
-    return np.unique(mix64(s))
+    return mix64(s)
+
+
+def shingle_sets(col, words: FlatWords, k: int):
+    """Sorted distinct k-word shingle hashes of each row of a string column, in order."""
+    for _, h, begin in words.chunks(col):
+        s = runs(h, k)
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            if b - a >= k:
+                x = np.sort(s[a : b - k + 1])
+                yield x[np.r_[True, x[1:] != x[:-1]]]
+            else:
+                yield runs(h[a:b], b - a) if b > a else h[:0]
 
 
 def batch(schema: pa.Schema, **cols) -> pa.RecordBatch:

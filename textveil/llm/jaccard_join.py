@@ -1,26 +1,27 @@
 """N-gram Jaccard join: an exact self-join of texts by the Jaccard similarity of
-their k-word shingles, with a count-vector R-tree inside each candidate bucket.
+their k-word shingles, pruned by R-trees over count vectors.
 
 Shape of the work, all of it over every row and every whole text:
 
-1. One pass makes each text's sorted set of shingle hashes and returns its size, a
-   64-bit digest of the set (the *node*; copies share one) and three minima of
-   permuted hashes. The same pass sums shingles that are frequent in its rows.
-2. Star links: nodes that share a minimum are compared with one anchor, the node of
-   the group with most copies. Verified links are joined into first components, so
-   a large group of near copies mostly becomes one component at a linear cost.
-3. Prefix rows: ordered by (frequent, hash), two sets with similarity s share one
-   of their first ``n - ceil(s n) + 1`` shingles. Buckets that hold one component
-   only are dropped by a combining aggregate on (least, greatest component).
-4. In each bucket left, tokens hashed to groups give count vectors. An R-tree over
-   them bounds the overlap by summed coordinate minima; pairs of different
-   components that pass the bound are candidates. Buckets beyond ``BLOCK`` rows
-   are dealt out as pairs of blocks. The first round takes each row's best
-   candidates, the second one all that still lie in different components.
-5. Candidates are verified on the exact sets; components are joined.
-
-No link between different texts is lost: pairs that are skipped already lie in one
-component. Hash collisions of 64-bit values are taken as equality.
+1. One pass makes each text's sorted set of shingle hashes and returns its size and
+   a 64-bit digest of the set (the *node*; copies share one). It also sums up which
+   shingles are frequent.
+2. Prefix rows: ordered by (frequent, hash), two sets with similarity s share one
+   of their first ``n - ceil(s n) + 1`` shingles. Shingles that only one node has are
+   dropped by a combining aggregate on (least, greatest node) and a bit filter of
+   fixed size.
+3. In each bucket left, tokens hashed to groups give count vectors. An R-tree over
+   them bounds the overlap by summed coordinate minima. Not all pairs that pass are
+   sent: a bucket gives a forest that spans them, so its output grows with its rows.
+   Buckets beyond ``BLOCK`` rows are dealt out as pairs of blocks.
+4. Components of these candidate links are *clusters*; every pair of similar texts
+   lies in one. Each node's exact set is sent once to its cluster, or to each pair of
+   blocks of a cluster too large for one task. There a search from node to node, on
+   the same bound and then on the exact sets, finds the links that connect the texts.
+
+No link between different texts is lost: a pair that isn't compared exactly either
+fails the bound or already lies in one component. 64-bit hashes that collide are
+taken as equal.
 """
 
 from __future__ import annotations
@@ -32,16 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch, cut, lowered_words, mix64, shingles, small_batches, table
+from .common import FlatWords, batch, cut, lowered_words, mix64, shingle_sets, small_batches, table
 from .graph import connected
 
 GROUPS = 128  # coordinates of a count vector
-BLOCK = 1024  # rows of a bucket that one R-tree holds
+BLOCK = 2048  # rows of a bucket that one task compares
+CLUSTER = 4_000_000  # shingles of a cluster that one task holds
 LEAF = 32
+SMALL = 8  # rows up to which a bucket's pairs are compared directly
 HOT_MAX = 1 << 16  # frequent shingles that order prefixes; only the order depends on them
 CHUNK = 4096  # texts over which a task counts frequent shingles
-BITS = 1 << 24  # size of the fixed bit filters
-PERMS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+BITS = 1 << 26  # size of the fixed bit filters: 8 MB whatever the input
 
 
 def digest(s: np.ndarray) -> int:
@@ -55,7 +57,7 @@ def prefix_len(n: int, num: int, den: int) -> int:
 
 
 def _first_pass(k: int):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("m0", pa.int64()), ("m1", pa.int64()), ("m2", pa.int64()), ("hot", pa.bool_())])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("hot", pa.bool_())])
 
     def frequent(held: list[np.ndarray]):
         if len(held) < 64:
@@ -63,28 +65,18 @@ def _first_pass(k: int):
         u, c = np.unique(np.concatenate(held), return_counts=True)
         keep = c >= max(4, len(held) // 1024)
         u, c = u[keep].view(np.int64), c[keep]
-        if not len(u):
-            return None
-        none = pa.nulls(len(u), pa.int64())
-        return batch(schema, doc=none, n=pa.array(c, pa.int64()), node=pa.array(u), m0=none, m1=none, m2=none, hot=pa.array(np.ones(len(u), bool)))
+        return batch(schema, doc=pa.nulls(len(u), pa.int64()), n=pa.array(c, pa.int64()), node=pa.array(u), hot=pa.array(np.ones(len(u), bool))) if len(u) else None
 
     def run(batches):
-        hashes, held = WordHashes(), []
+        words, held = FlatWords(), []
         for b in batches:
-            n, node, mins = [], [], ([], [], [])
-            for t in b.column(1).to_pylist():
-                s = shingles(hashes.array(lowered_words(t)), k)
+            n, node = [], []
+            for s in shingle_sets(b.column(1), words, k):
                 n.append(len(s))
+                node.append(digest(s) if len(s) else None)
                 if len(s):
                     held.append(s)
-                    node.append(digest(s))
-                    for m, p in zip(mins, PERMS, strict=True):
-                        m.append(int((mix64(s * p) if len(s) < 64 else s * p).min().view(np.int64)))
-                else:
-                    node.append(None)
-                    for m in mins:
-                        m.append(None)
-            yield batch(schema, doc=b.column(0), n=n, node=node, m0=mins[0], m1=mins[1], m2=mins[2], hot=[False] * len(n))
+            yield batch(schema, doc=b.column(0), n=n, node=node, hot=[False] * len(n))
             if len(held) >= CHUNK:
                 if (out := frequent(held)) is not None:
                     yield out
@@ -92,69 +84,41 @@ def _first_pass(k: int):
         if held and (out := frequent(held)) is not None:
             yield out
 
-    return run, "doc long, n long, node long, m0 long, m1 long, m2 long, hot boolean"
+    return run, "doc long, n long, node long, hot boolean"
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids.view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
+def _slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix64(ids.astype(np.int64).view(np.uint64))
+    return (h % np.uint64(BITS)).astype(np.int64), (mix64(h) % np.uint64(BITS)).astype(np.int64)
 
 
-def _bits(df: DataFrame, col: str) -> bytes:
-    """A bit filter of fixed size (``BITS``) over a long column: 2 MB whatever the input."""
+def _bits(df: DataFrame, col: str):
+    """A broadcast bit filter of fixed size over a long column, two bits for each value."""
     schema = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
 
     def run(batches):
-        on = np.zeros(BITS, bool)
+        on = None
         for b in batches:
-            on[_slot(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))] = True
-        packed = np.packbits(on).reshape(64, -1)
-        some = np.flatnonzero(packed.any(1))
-        yield batch(schema, part=some, bits=[packed[i].tobytes() for i in some])
+            on = np.zeros(BITS, bool) if on is None else on
+            for s in _slots(b.column(0).to_numpy(zero_copy_only=False)):
+                on[s] = True
+        if on is not None:
+            packed = np.packbits(on).reshape(256, -1)
+            some = np.flatnonzero(packed.any(1))
+            yield batch(schema, part=some, bits=[packed[i].tobytes() for i in some])
 
     rows = df.select(col).filter(F.col(col).isNotNull()).mapInArrow(run, "part int, bits binary")
-    rows = rows.rdd.map(lambda r: (r[0], bytes(r[1]))).reduceByKey(lambda x, y: (np.frombuffer(x, np.uint8) | np.frombuffer(y, np.uint8)).tobytes(), 64)
-    out = np.zeros((64, BITS // 512), np.uint8)
-    for i, x in rows.collect():
+    rows = rows.rdd.map(lambda r: (r[0], bytes(r[1]))).reduceByKey(lambda x, y: (np.frombuffer(x, np.uint8) | np.frombuffer(y, np.uint8)).tobytes(), 32)
+    out = np.zeros((256, BITS // 2048), np.uint8)
+    for i, x in rows.toLocalIterator():
         out[i] = np.frombuffer(x, np.uint8)
-    return out.tobytes()
+    return df.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have ``den * both >= num * either``."""
-    spark = docs.sparkSession
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    nodes = cut(nodes.join(reps.select("node", "label"), "node"), "involved")
-    filt = spark.sparkContext.broadcast(_bits(nodes, "label"))
-    schema = pa.schema([("node", pa.int64()), ("s", pa.binary())])
-
-    def sets(batches):
-        on, hashes = np.unpackbits(np.frombuffer(filt.value, np.uint8)).astype(bool), WordHashes()
-        for b in batches:
-            ids = b.column(0)
-            want = on[_slot(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))] | ids.is_null().to_numpy(zero_copy_only=False)
-            node, s = [], []
-            for i in np.flatnonzero(want):
-                x = shingles(hashes.array(lowered_words(b.column(1)[int(i)].as_py())), k)
-                if len(x):
-                    node.append(digest(x))
-                    s.append(x.tobytes())
-            yield batch(schema, node=node, s=s)
-
-    found = docs.mapInArrow(sets, "node long, s binary").join(nodes.select("node"), "node", "left_semi")
-    found = cut(found.dropDuplicates(["node"]), "sets")
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-    links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def verify(batches):
-        for t in batches:
-            keep = []
-            for x, y in zip(t.column(2), t.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                o = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * o >= num * (len(x) + len(y) - o))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in t.columns[:2]], schema=links)
-
-    return both.mapInArrow(verify, "a long, b long")
+def _passes(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    a, b = _slots(ids)
+    hit = lambda s: (packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1
+    return (hit(a) & hit(b)).astype(bool)
 
 
 class CountTree:
@@ -164,9 +128,9 @@ class CountTree:
     against a node at most the summed minima with its upper corner.
     """
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, rows: np.ndarray):
         self.v, self.n = vectors, sizes
-        self.root = self._build(np.arange(len(sizes)))
+        self.root = self._build(rows)
 
     def _build(self, ids: np.ndarray):
         v = self.v[ids]
@@ -175,12 +139,11 @@ class CountTree:
             return top, least, ids, None
         widest = int((top - v.min(0)).argmax())
         order = ids[np.argsort(v[:, widest], kind="stable")]
-        cuts = np.array_split(order, min(8, -(-len(ids) // LEAF)))
-        return top, least, None, [self._build(c) for c in cuts]
+        return top, least, None, [self._build(c) for c in np.array_split(order, min(8, -(-len(ids) // LEAF)))]
 
-    def pairs(self, qv: np.ndarray, qn: np.ndarray, num: int, den: int):
-        """(query, point, bound) of all pairs whose bound allows ``den * both >= num * either``."""
-        out_q, out_p, out_b = [], [], []
+    def near(self, qv: np.ndarray, qn: np.ndarray, alive: np.ndarray, num: int, den: int):
+        """(query, row) of the pairs with live rows whose bound allows ``den * both >= num * either``."""
+        out_q, out_p = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         stack = [(self.root, np.arange(len(qn)))]
         while stack:
             (top, least, ids, below), q = stack.pop()
@@ -191,163 +154,227 @@ class CountTree:
             if below is not None:
                 stack += [(x, q) for x in below]
                 continue
-            for i in ids:
-                bound = np.minimum(qv[q], self.v[i]).sum(1, dtype=np.int64)
-                ok = (den + num) * bound >= num * (qn[q] + self.n[i])
-                out_q.append(q[ok])
-                out_p.append(np.full(int(ok.sum()), i))
-                out_b.append(bound[ok])
-        if not out_q:
-            return (np.empty(0, np.int64),) * 3
-        return np.concatenate(out_q), np.concatenate(out_p), np.concatenate(out_b)
-
-
-def _bucket_pairs(node, n, comp, chunk, cross, v, num, den, best):
-    """Candidate pairs in one bucket, or between the two blocks of a pair of blocks."""
-    last, sides = chunk.max(), None
-    if cross:
-        left, right = np.flatnonzero(chunk != last), np.flatnonzero(chunk == last)
-        if not len(left):
-            return None
-        sides = (left, right)
-    elif len(node) == 2:
-        q, p = np.array([0]), np.array([1])
-        b = np.minimum(v[0], v[1]).sum(dtype=np.int64)[None]
-        keep = (den + num) * b >= num * (n[q] + n[p])
-        return (q[keep], p[keep]) if comp[0] != comp[1] else None
-    else:
-        sides = (np.arange(len(node)),) * 2
-    left, right = sides
-    if len(np.unique(comp)) < 2:
-        return None
-    tree = CountTree(v[right], n[right])
-    if best or not cross:
-        # rows of the largest component need not ask: the other side of each pair does
-        names, counts = np.unique(comp, return_counts=True)
-        asks = left if cross else left[comp[left] != names[counts.argmax()]]
-    else:
-        asks = left
-    q, p, b = tree.pairs(v[asks], n[asks], num, den)
-    q, p = asks[q], right[p]
-    keep = comp[q] != comp[p]
-    q, p, b = q[keep], p[keep], b[keep]
-    if best and len(q):
-        est = b / (n[q] + n[p] - b)
-        o = np.lexsort((-est, q))
-        q, p = q[o], p[o]
-        first = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1]
-        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-        q, p = q[rank < best], p[rank < best]
-    return q, p
-
-
-def _candidates(num: int, den: int, best: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def flush(t: pa.Table):
-        s, ci, cj, node, n, comp, chunk = (t.column(i).to_numpy() for i in range(7))
-        v = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint16).reshape(-1, GROUPS)
-        edge = np.flatnonzero((s[1:] != s[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])) + 1
+            ids = ids[alive[ids]]
+            if len(ids):
+                bound = np.minimum(qv[q][:, None, :], self.v[ids][None, :, :]).sum(2, dtype=np.int64)
+                r, c = np.nonzero((den + num) * bound >= num * (qn[q][:, None] + self.n[ids][None, :]))
+                out_q.append(q[r])
+                out_p.append(ids[c])
+        return np.concatenate(out_q), np.concatenate(out_p)
+
+
+def forest(v: np.ndarray, n: np.ndarray, num: int, den: int, side: np.ndarray | None = None, exact=None) -> list[tuple[int, int]]:
+    """Edges (row, row) that span the components of the graph of similar rows.
+
+    From a row all live rows that pass the bound (and, if given, ``exact(row, rows)``)
+    are taken out and asked in turn, so rows that are already connected are not compared
+    with each other. With ``side``, only pairs of rows on different sides count.
+    """
+    alive, edges = np.ones(len(n), bool), []
+    tree, built = None, 0
+    order = np.argsort(n, kind="stable")
+    for seed in order.tolist():
+        if not alive[seed]:
+            continue
+        alive[seed] = False
+        queue = [seed]
+        while queue:
+            left = int(alive.sum())
+            if not left:
+                return edges
+            if tree is None or left < built // 2:
+                tree, built = CountTree(v, n, np.flatnonzero(alive)), left
+            some, queue = (queue[:1], queue[1:]) if exact else (queue[:16], queue[16:])
+            q, p = tree.near(v[some], n[some], alive, num, den)
+            if side is not None:
+                other = side[np.array(some)][q] != side[p]
+                q, p = q[other], p[other]
+            if exact and len(p):
+                p = p[exact(some[0], p)]
+                q = np.zeros(len(p), np.int64)
+            p, first = np.unique(p, return_index=True)
+            alive[p] = False
+            edges += [(some[q[i]], int(x)) for i, x in zip(first.tolist(), p.tolist(), strict=True)]
+            queue += p.tolist()
+    return edges
+
+
+def _grouped(batches, keys: int, least: int, handle):
+    """Calls ``handle`` on tables that hold whole groups of equal leading ``keys`` columns of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not len(b):
+            continue
+        held.append(b)
+        rows += len(b)
+        if rows < least:
+            continue
+        t = pa.Table.from_batches(held)
+        same = np.ones(len(t), bool)
+        for i in range(keys):
+            c = t.column(i).to_numpy()
+            same &= c == c[-1]
+        start = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+        if start and (out := handle(t.slice(0, start).combine_chunks())) is not None:
+            yield out
+        held = t.slice(start).combine_chunks().to_batches()
+        rows = sum(map(len, held))
+    if held and (out := handle(pa.Table.from_batches(held).combine_chunks())) is not None:
+        yield out
+
+
+def _edges(t: pa.Table, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    new = np.zeros(len(t), bool)
+    new[0] = True
+    for i in range(keys):
+        c = t.column(i).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    lo = np.flatnonzero(new)
+    return lo, np.r_[lo[1:], len(t)]
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _bucket_links(num: int, den: int):
+    """Spanning candidate links of the buckets in rows (s, ci, cj, node, n, chunk, v) sorted by bucket."""
+
+    def handle(t: pa.Table):
+        lo, hi = _edges(t, 3)
+        ci, cj, node, n, chunk = (t.column(i).to_numpy() for i in range(1, 6))
+        raw = t.column(6).combine_chunks() if isinstance(t.column(6), pa.ChunkedArray) else t.column(6)
+        v = np.frombuffer(b"".join(raw.to_pylist()), np.uint16).reshape(-1, GROUPS)
         out = []
-        for lo, hi in zip(np.r_[0, edge], np.r_[edge, len(s)], strict=True):
-            if hi - lo < 2:
+        size = hi - lo
+        for m in range(2, SMALL + 1):
+            g = lo[(size == m) & (ci[lo] == cj[lo])]
+            for i in range(m) if len(g) else ():
+                for j in range(i):
+                    x, y = g + i, g + j
+                    near = den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])
+                    x, y = x[near], y[near]
+                    for at in range(0, len(x), 4096):
+                        p, q = x[at : at + 4096], y[at : at + 4096]
+                        ok = (den + num) * np.minimum(v[p], v[q]).sum(1, dtype=np.int64) >= num * (n[p] + n[q])
+                        out.append(np.stack([node[p[ok]], node[q[ok]]]))
+        for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+            cross = ci[a] != cj[a]
+            if b - a < 2 or b - a <= SMALL and not cross:
                 continue
-            cutout = slice(lo, hi)
-            got = _bucket_pairs(node[cutout], n[cutout], comp[cutout], chunk[cutout], ci[lo] != cj[lo], v[cutout], num, den, best)
-            if got is not None and len(got[0]):
-                x, y = node[cutout][got[0]], node[cutout][got[1]]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-        if out:
-            p = np.unique(np.concatenate(out, axis=1), axis=1)
-            return batch(schema, a=pa.array(p[0]), b=pa.array(p[1]))
-        return None
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for b in batches:
-            held.append(b)
-            rows += len(b)
-            if rows < 4 * BLOCK:
+            side = chunk[a:b] if cross else None
+            if cross and (side == side[0]).all():
                 continue
-            t = pa.Table.from_batches(held)
-            s, ci, cj = (t.column(i).to_numpy() for i in range(3))
-            same = (s == s[-1]) & (ci == ci[-1]) & (cj == cj[-1])
-            start = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if start and (out := flush(t.slice(0, start).combine_chunks())) is not None:
-                yield out
-            held = t.slice(start).combine_chunks().to_batches()
-            rows = sum(map(len, held))
-        if held and (out := flush(pa.Table.from_batches(held).combine_chunks())) is not None:
-            yield out
+            e = np.array(forest(v[a:b], n[a:b], num, den), np.int64).reshape(-1, 2)
+            out.append(np.stack([node[a:b][e[:, 0]], node[a:b][e[:, 1]]]))
+        if not out:
+            return None
+        p = np.concatenate(out, axis=1)
+        p = np.stack([p.min(0), p.max(0)])
+        p = np.unique(p[:, p[0] != p[1]], axis=1)
+        return batch(LINKS, a=pa.array(p[0]), b=pa.array(p[1])) if p.shape[1] else None
+
+    return lambda batches: _grouped(batches, 3, 8192, handle)
+
+
+def counts(s: np.ndarray) -> np.ndarray:
+    return np.minimum(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
+
 
-    return run
+def _cluster_links(num: int, den: int):
+    """Exact spanning links of the clusters in rows (cluster, ci, cj, node, s) sorted by cluster."""
+
+    def handle(t: pa.Table):
+        lo, hi = _edges(t, 3)
+        node, raw = t.column(3).to_numpy(), t.column(4)
+        out = []
+        for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw[a:b]]
+            n = np.array([len(s) for s in sets], np.int64)
+            start = np.r_[0, np.cumsum(n)]
+            names, at = np.unique(np.concatenate(sets), return_inverse=True)
+            mark = np.zeros(len(names), bool)
+
+            def exact(i, rows, at=at, start=start, n=n, mark=mark):
+                own = at[start[i] : start[i + 1]]
+                mark[own] = True
+                keep = []
+                for j in rows.tolist():
+                    o = int(np.count_nonzero(mark[at[start[j] : start[j + 1]]]))
+                    keep.append(den * o >= num * (int(n[i]) + int(n[j]) - o))
+                mark[own] = False
+                return np.array(keep, bool)
+
+            e = np.array(forest(np.stack([counts(s) for s in sets]), n, num, den, None, exact), np.int64).reshape(-1, 2)
+            out.append(np.stack([node[a:b][e[:, 0]], node[a:b][e[:, 1]]]))
+        p = np.concatenate(out, axis=1)
+        return batch(LINKS, a=pa.array(p.min(0)), b=pa.array(p.max(0))) if p.shape[1] else None
+
+    return lambda batches: _grouped(batches, 3, 512, handle)
 
 
 def _prefixes(k: int, num: int, den: int, hot):
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("v", pa.binary())])
 
     def run(batches):
-        hashes, frequent = WordHashes(), np.frombuffer(hot.value, np.uint64)
+        words, frequent = FlatWords(), np.frombuffer(hot.value, np.uint64)
         for b in batches:
             node, n, prefix, vec = [], [], [], []
-            for t in b.column(0).to_pylist():
-                s = shingles(hashes.array(lowered_words(t)), k)
+            for s in shingle_sets(b.column(0), words, k):
                 if not len(s):
                     continue
-                p = prefix_len(len(s), num, den)
+                first = s
                 if len(frequent):
-                    at = np.searchsorted(frequent, s)
-                    common = frequent[np.minimum(at, len(frequent) - 1)] == s
-                    first = np.concatenate([s[~common], s[common]])[:p]
-                else:
-                    first = s[:p]
+                    common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+                    if common.any():
+                        first = np.concatenate([s[~common], s[common]])
                 node.append(digest(s))
                 n.append(len(s))
-                prefix.append(first.view(np.int64))
-                vec.append(np.minimum(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16).tobytes())
+                prefix.append(first[: prefix_len(len(s), num, den)].view(np.int64))
+                vec.append(counts(s).tobytes())
             yield batch(schema, node=node, n=n, prefix=prefix, v=vec)
 
     return run, "node long, n long, prefix array<long>, v binary"
 
 
-def _rows(k_bits):
-    """Rows (shingle, node, n, comp, v) of prefixes, of those shingles that the bit filter has."""
-    schema = pa.schema([("s", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("comp", pa.int64()), ("v", pa.binary())])
+def _shared_rows(bits):
+    """Rows (s, node, n, v) of the prefix shingles that the bit filter has."""
+    schema = pa.schema([("s", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
 
     def run(batches):
-        on = np.unpackbits(np.frombuffer(k_bits.value, np.uint8)).astype(bool)
+        packed = np.frombuffer(bits.value, np.uint8)
         for b in batches:
             lists = b.column(2)
             flat = lists.flatten().to_numpy()
             row = np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy())
-            keep = on[_slot(flat)]
+            keep = _passes(packed, flat)
             row = pa.array(row[keep])
-            yield batch(schema, s=pa.array(flat[keep]), node=b.column(0).take(row), n=b.column(1).take(row), comp=b.column(4).take(row), v=b.column(3).take(row))
+            yield batch(schema, s=pa.array(flat[keep]), node=b.column(0).take(row), n=b.column(1).take(row), v=b.column(3).take(row))
 
-    return run, "s long, node long, n long, comp long, v binary"
+    return run, "s long, node long, n long, v binary"
 
 
-def _labelled(pre: DataFrame, comps: DataFrame) -> DataFrame:
-    return pre.join(comps, "node", "left").select("node", "n", "prefix", "v", F.coalesce("comp", "node").alias("comp"))
+def _sets(k: int, bits):
+    """Rows (node, s) of texts whose id may be wanted."""
+    schema = pa.schema([("node", pa.int64()), ("s", pa.binary())])
 
+    def run(batches):
+        packed, words = np.frombuffer(bits.value, np.uint8), FlatWords()
+        for b in batches:
+            ids = b.column(0)
+            want = _passes(packed, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+            sets = [s for s in shingle_sets(b.column(1).filter(pa.array(want)), words, k) if len(s)]
+            yield batch(schema, node=[digest(s) for s in sets], s=[s.tobytes() for s in sets])
 
-def _round(docs, pre, comps, reps, k, num, den, best):
-    """Verified links between different components that share a prefix shingle."""
-    spark = docs.sparkSession
-    pre = cut(_labelled(pre, comps), "prefix")
-    multi = pre.select(F.explode("prefix").alias("s"), "comp").groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
-    multi = cut(multi.select("s", "c"), "buckets")
-    bits = spark.sparkContext.broadcast(_bits(multi, "s"))
-    run, schema = _rows(bits)
-    rows = pre.mapInArrow(run, schema).join(multi, "s")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("s", F.least("chunk", "o").alias("ci"), F.greatest("chunk", "o").alias("cj"), "node", "n", "comp", "chunk", "v")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "s", "ci", "cj").sortWithinPartitions("s", "ci", "cj", "node")
-    pairs = cut(rows.mapInArrow(_candidates(num, den, best), "a long, b long").distinct(), "pairs")
-    return cut(_verified(docs, pairs, reps, k, num, den), "links")
+    return run, "node long, s binary"
+
+
+def _dealt(rows: DataFrame, blocks, keys: list[str], what: list[str]) -> DataFrame:
+    """Rows copied to each pair of blocks that theirs belongs to, gathered and sorted by ``keys`` and pair."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    rows = rows.select(*keys, F.least("chunk", "o").alias("ci"), F.greatest("chunk", "o").alias("cj"), *[c for c in ("node", "n", "chunk") if c in what], *[c for c in what if c not in ("node", "n", "chunk")])
+    return rows.repartition(parts, *keys, "ci", "cj").sortWithinPartitions(*keys, "ci", "cj", "node")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -367,25 +394,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = cut(docs.mapInArrow(run, schema), "first")
     hot = first.filter("hot").groupBy("node").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "node").limit(HOT_MAX).select("node").collect()
     hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64)).tobytes())
-    rows = first.filter("not hot").select("doc", "n", "node", "m0", "m1", "m2")
-    reps = rows.filter("node is not null").groupBy("node").agg(F.min("doc").alias("label"), F.count("*").alias("copies"), F.max("n").alias("n"), *(F.max(m).alias(m) for m in ("m0", "m1", "m2")))
-    reps = cut(reps, "nodes")
-
-    keyed = reps.select("node", "n", "copies", F.posexplode(F.array("m0", "m1", "m2")).alias("i", "m"))
-    anchors = keyed.groupBy("i", "m").agg(F.max(F.struct("copies", "node", "n")).alias("top"), F.count("*").alias("c")).filter("c > 1")
-    anchors = cut(anchors.select("i", "m", F.col("top.node").alias("anchor"), F.col("top.n").alias("an")), "anchors")
-    near = keyed.join(anchors, ["i", "m"]).filter(F.col("node") != F.col("anchor")).filter(den * F.least("n", "an") >= num * F.greatest("n", "an"))
-    pairs = cut(near.select(F.least("node", "anchor").alias("a"), F.greatest("node", "anchor").alias("b")).distinct(), "stars")
-    links = cut(_verified(docs, pairs, reps, k, num, den), "links")
-    comps = cut(connected(links), "comps")
+    rows = first.filter("not hot").select("doc", "n", "node")
+    reps = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc").alias("label"), F.max("n").alias("n")), "nodes")
 
     run, schema = _prefixes(k, num, den, hot)
     pre = cut(docs.select("txt").mapInArrow(run, schema).dropDuplicates(["node"]), "prefix")
-    for best in (2, 0):
-        more = _round(docs, pre, comps, reps, k, num, den, best)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = cut(connected(links), "comps")
+    shared = pre.select(F.explode("prefix").alias("s"), "node").groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
+    shared = cut(shared.select("s", "c"), "buckets")
+    run, schema = _shared_rows(_bits(shared, "s"))
+    large = cut(shared.filter(F.col("c") > BLOCK), "large")
+    rows_in = pre.mapInArrow(run, schema).join(large, "s", "left")
+    dealt = _dealt(rows_in, F.ceil(F.coalesce("c", F.lit(1)) / BLOCK), ["s"], ["node", "n", "chunk", "v"])
+    links = cut(dealt.mapInArrow(_bucket_links(num, den), "a long, b long").distinct(), "candidates")
+    clusters = cut(connected(links).withColumnRenamed("comp", "cluster").join(reps, "node"), "clusters")
+
+    sizes = cut(clusters.groupBy("cluster").agg(F.sum("n").alias("total")).filter(F.col("total") > CLUSTER), "large")
+    run, schema = _sets(k, _bits(clusters, "label"))
+    sets = docs.mapInArrow(run, schema).join(clusters.select("node", "cluster"), "node").dropDuplicates(["node"])
+    dealt = _dealt(sets.join(sizes, "cluster", "left"), F.ceil(2 * F.coalesce("total", F.lit(1)) / CLUSTER), ["cluster"], ["node", "s"])
+    comps = cut(connected(dealt.mapInArrow(_cluster_links(num, den), "a long, b long")), "comps")
 
     named = reps.join(comps, "node", "left").select("node", "label", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("label").alias("least"))
