@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ball_tree, bpe_lexicon, jaccard_join, quality_nbsvm, toxicity_pu
+from . import ball_tree, bpe_lexicon, jaccard_join, lang_cnn, quality_nbsvm, toxicity_pu
 
 QUERIES = {
+    "op5_language_id": lang_cnn.op5_language_id,
     "op4_toxicity": toxicity_pu.op4_toxicity,
     "op7_quality_classifier": quality_nbsvm.op7_quality_classifier,
     "op9_bpe_codec": bpe_lexicon.op9_bpe_codec,
