@@ -128,11 +128,11 @@ class FlatWords:
 
     A word's hash is a polynomial of its bytes' values (A-Z as a-z), taken from prefix
     sums over the column's buffer, and mixed with its length. ``chunks`` walks the column
-    in pieces of about ``size`` bytes.
+    in pieces of about ``size`` bytes. ``space`` tells the bytes that part words.
     """
 
-    def __init__(self, size: int = 1 << 20):
-        self.size, self.values = size, _byte_values()
+    def __init__(self, size: int = 1 << 20, space: np.ndarray | None = None):
+        self.size, self.values, self.space = size, _byte_values(), _SPACE if space is None else space
         self._powers(size)
 
     def _powers(self, n: int) -> None:
@@ -166,7 +166,7 @@ class FlatWords:
             return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
         if len(b) > len(self.up):
             self._powers(len(b))
-        space = _SPACE[b]
+        space = self.space[b]
         edge = np.zeros(len(b) + 1, bool)
         edge[offsets] = True
         before = edge[:-1].copy()

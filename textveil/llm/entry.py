@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import ball_tree, bpe_lexicon, jaccard_join, lang_cnn, quality_nbsvm, toxicity_pu
+from . import ball_tree, bpe_lexicon, decontaminate, jaccard_join, lang_cnn, quality_nbsvm, substring_dedup, toxicity_pu
 
 QUERIES = {
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op5_language_id": lang_cnn.op5_language_id,
     "op4_toxicity": toxicity_pu.op4_toxicity,
     "op7_quality_classifier": quality_nbsvm.op7_quality_classifier,
