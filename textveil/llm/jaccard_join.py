@@ -33,17 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FlatWords, batch, cut, lowered_words, mix64, shingle_sets, small_batches, table
+from .bitfilter import bit_filter, passes
+from .common import FlatWords, batch, cut, lowered_words, shingle_sets, small_batches, table
 from .graph import connected
 
-GROUPS = 128  # coordinates of a count vector
+LEVEL = 7  # a count vector has 2**LEVEL coordinates at least, and one for 4 to 8 shingles of larger sets
 BLOCK = 2048  # rows of a bucket that one task compares
 CLUSTER = 4_000_000  # shingles of a cluster that one task holds
 LEAF = 32
 SMALL = 8  # rows up to which a bucket's pairs are compared directly
 HOT_MAX = 1 << 16  # frequent shingles that order prefixes; only the order depends on them
 CHUNK = 4096  # texts over which a task counts frequent shingles
-BITS = 1 << 26  # size of the fixed bit filters: 8 MB whatever the input
 
 
 def digest(s: np.ndarray) -> int:
@@ -87,38 +87,14 @@ def _first_pass(k: int):
     return run, "doc long, n long, node long, hot boolean"
 
 
-def _slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix64(ids.astype(np.int64).view(np.uint64))
-    return (h % np.uint64(BITS)).astype(np.int64), (mix64(h) % np.uint64(BITS)).astype(np.int64)
+def level(n: int) -> int:
+    return max(LEVEL, (n >> 3).bit_length())
 
 
-def _bits(df: DataFrame, col: str):
-    """A broadcast bit filter of fixed size over a long column, two bits for each value."""
-    schema = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
-
-    def run(batches):
-        on = None
-        for b in batches:
-            on = np.zeros(BITS, bool) if on is None else on
-            for s in _slots(b.column(0).to_numpy(zero_copy_only=False)):
-                on[s] = True
-        if on is not None:
-            packed = np.packbits(on).reshape(256, -1)
-            some = np.flatnonzero(packed.any(1))
-            yield batch(schema, part=some, bits=[packed[i].tobytes() for i in some])
-
-    rows = df.select(col).filter(F.col(col).isNotNull()).mapInArrow(run, "part int, bits binary")
-    rows = rows.rdd.map(lambda r: (r[0], bytes(r[1]))).reduceByKey(lambda x, y: (np.frombuffer(x, np.uint8) | np.frombuffer(y, np.uint8)).tobytes(), 32)
-    out = np.zeros((256, BITS // 2048), np.uint8)
-    for i, x in rows.toLocalIterator():
-        out[i] = np.frombuffer(x, np.uint8)
-    return df.sparkSession.sparkContext.broadcast(out.tobytes())
-
-
-def _passes(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    a, b = _slots(ids)
-    hit = lambda s: (packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1
-    return (hit(a) & hit(b)).astype(bool)
+def counts(s: np.ndarray, at: int | None = None) -> np.ndarray:
+    """Shingles in each of 2**level groups. A group holds 8 on average at most, so a byte is enough."""
+    groups = 1 << (level(len(s)) if at is None else at)
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint8)
 
 
 class CountTree:
@@ -163,17 +139,16 @@ class CountTree:
         return np.concatenate(out_q), np.concatenate(out_p)
 
 
-def forest(v: np.ndarray, n: np.ndarray, num: int, den: int, side: np.ndarray | None = None, exact=None) -> list[tuple[int, int]]:
+def forest(v: np.ndarray, n: np.ndarray, num: int, den: int, exact=None) -> list[tuple[int, int]]:
     """Edges (row, row) that span the components of the graph of similar rows.
 
     From a row all live rows that pass the bound (and, if given, ``exact(row, rows)``)
     are taken out and asked in turn, so rows that are already connected are not compared
-    with each other. With ``side``, only pairs of rows on different sides count.
+    with each other.
     """
     alive, edges = np.ones(len(n), bool), []
     tree, built = None, 0
-    order = np.argsort(n, kind="stable")
-    for seed in order.tolist():
+    for seed in np.argsort(n, kind="stable").tolist():
         if not alive[seed]:
             continue
         alive[seed] = False
@@ -186,9 +161,6 @@ def forest(v: np.ndarray, n: np.ndarray, num: int, den: int, side: np.ndarray |
                 tree, built = CountTree(v, n, np.flatnonzero(alive)), left
             some, queue = (queue[:1], queue[1:]) if exact else (queue[:16], queue[16:])
             q, p = tree.near(v[some], n[some], alive, num, den)
-            if side is not None:
-                other = side[np.array(some)][q] != side[p]
-                q, p = q[other], p[other]
             if exact and len(p):
                 p = p[exact(some[0], p)]
                 q = np.zeros(len(p), np.int64)
@@ -237,38 +209,71 @@ def _edges(t: pa.Table, keys: int) -> tuple[np.ndarray, np.ndarray]:
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+class Vectors:
+    """Count vectors of rows by level; a row is seen at its own level and, folded, at the one below."""
+
+    def __init__(self, raw: list[bytes]):
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.level = np.log2(np.maximum(size, 1)).astype(np.int64)
+        self.at, self.own, self.folded = np.zeros(len(raw), np.int64), {}, {}
+        for x in np.unique(self.level).tolist():
+            rows = np.flatnonzero(self.level == x)
+            self.at[rows] = np.arange(len(rows))
+            m = np.frombuffer(b"".join([raw[i] for i in rows]), np.uint8).reshape(len(rows), -1)
+            self.own[x] = m
+            # group = hash mod 2**level, so halving the groups adds the two halves
+            self.folded[x - 1] = m[:, : m.shape[1] // 2] + m[:, m.shape[1] // 2 :] if m.shape[1] > 1 else m
+
+    def get(self, rows: np.ndarray, x: int) -> np.ndarray:
+        out = np.zeros((len(rows), 1 << x), np.uint8)
+        for lv, m in ((x, self.own.get(x)), (x + 1, self.folded.get(x))):
+            here = self.level[rows] == lv
+            if m is not None and here.any():
+                out[here] = m[self.at[rows[here]]]
+        return out
+
+    def bounds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Summed minima of rows a and b, whose levels differ by one at most."""
+        out, low = np.zeros(len(a), np.int64), np.minimum(self.level[a], self.level[b])
+        for x in np.unique(low).tolist():
+            which = np.flatnonzero(low == x)
+            step = max(1, (1 << 22) >> x)
+            for lo in range(0, len(which), step):
+                w = which[lo : lo + step]
+                out[w] = np.minimum(self.get(a[w], x), self.get(b[w], x)).sum(1, dtype=np.int64)
+        return out
+
+
 def _bucket_links(num: int, den: int):
     """Spanning candidate links of the buckets in rows (s, ci, cj, node, n, chunk, v) sorted by bucket."""
 
     def handle(t: pa.Table):
         lo, hi = _edges(t, 3)
         ci, cj, node, n, chunk = (t.column(i).to_numpy() for i in range(1, 6))
-        raw = t.column(6).combine_chunks() if isinstance(t.column(6), pa.ChunkedArray) else t.column(6)
-        v = np.frombuffer(b"".join(raw.to_pylist()), np.uint16).reshape(-1, GROUPS)
-        out = []
+        out = [np.empty((2, 0), np.int64)]
         size = hi - lo
+        many = np.repeat(size > 1, size).tolist()
+        v = Vectors([x if m else b"\0" for x, m in zip(t.column(6).to_pylist(), many, strict=True)])
         for m in range(2, SMALL + 1):
             g = lo[(size == m) & (ci[lo] == cj[lo])]
             for i in range(m) if len(g) else ():
                 for j in range(i):
                     x, y = g + i, g + j
-                    near = den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])
+                    near = (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])) & (node[x] != node[y])
                     x, y = x[near], y[near]
-                    for at in range(0, len(x), 4096):
-                        p, q = x[at : at + 4096], y[at : at + 4096]
-                        ok = (den + num) * np.minimum(v[p], v[q]).sum(1, dtype=np.int64) >= num * (n[p] + n[q])
-                        out.append(np.stack([node[p[ok]], node[q[ok]]]))
+                    ok = (den + num) * v.bounds(x, y) >= num * (n[x] + n[y])
+                    out.append(np.stack([node[x[ok]], node[y[ok]]]))
         for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
             cross = ci[a] != cj[a]
-            if b - a < 2 or b - a <= SMALL and not cross:
+            if b - a < 2 or b - a <= SMALL and not cross or cross and (chunk[a:b] == chunk[a]).all():
                 continue
-            side = chunk[a:b] if cross else None
-            if cross and (side == side[0]).all():
-                continue
-            e = np.array(forest(v[a:b], n[a:b], num, den), np.int64).reshape(-1, 2)
-            out.append(np.stack([node[a:b][e[:, 0]], node[a:b][e[:, 1]]]))
-        if not out:
-            return None
+            rows = np.arange(a, b)
+            for x in np.unique(v.level[a:b]).tolist():
+                # rows of the next level stand in too as far as their size lets them be similar
+                most = den * (1 << (x + 3)) // num + 1
+                r = rows[(v.level[a:b] == x) | ((v.level[a:b] == x + 1) & (n[a:b] <= most))]
+                e = np.array(forest(v.get(r, x), n[r], num, den), np.int64).reshape(-1, 2)
+                out.append(np.stack([node[r[e[:, 0]]], node[r[e[:, 1]]]]))
         p = np.concatenate(out, axis=1)
         p = np.stack([p.min(0), p.max(0)])
         p = np.unique(p[:, p[0] != p[1]], axis=1)
@@ -277,10 +282,6 @@ def _bucket_links(num: int, den: int):
     return lambda batches: _grouped(batches, 3, 8192, handle)
 
 
-def counts(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
-
-
 def _cluster_links(num: int, den: int):
     """Exact spanning links of the clusters in rows (cluster, ci, cj, node, s) sorted by cluster."""
 
@@ -305,7 +306,8 @@ def _cluster_links(num: int, den: int):
                 mark[own] = False
                 return np.array(keep, bool)
 
-            e = np.array(forest(np.stack([counts(s) for s in sets]), n, num, den, None, exact), np.int64).reshape(-1, 2)
+            x = level(int(n.max()))
+            e = np.array(forest(np.stack([counts(s, x) for s in sets]), n, num, den, exact), np.int64).reshape(-1, 2)
             out.append(np.stack([node[a:b][e[:, 0]], node[a:b][e[:, 1]]]))
         p = np.concatenate(out, axis=1)
         return batch(LINKS, a=pa.array(p.min(0)), b=pa.array(p.max(0))) if p.shape[1] else None
@@ -347,7 +349,7 @@ def _shared_rows(bits):
             lists = b.column(2)
             flat = lists.flatten().to_numpy()
             row = np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy())
-            keep = _passes(packed, flat)
+            keep = passes(packed, flat)
             row = pa.array(row[keep])
             yield batch(schema, s=pa.array(flat[keep]), node=b.column(0).take(row), n=b.column(1).take(row), v=b.column(3).take(row))
 
@@ -362,7 +364,7 @@ def _sets(k: int, bits):
         packed, words = np.frombuffer(bits.value, np.uint8), FlatWords()
         for b in batches:
             ids = b.column(0)
-            want = _passes(packed, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+            want = passes(packed, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
             sets = [s for s in shingle_sets(b.column(1).filter(pa.array(want)), words, k) if len(s)]
             yield batch(schema, node=[digest(s) for s in sets], s=[s.tobytes() for s in sets])
 
@@ -401,7 +403,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pre = cut(docs.select("txt").mapInArrow(run, schema).dropDuplicates(["node"]), "prefix")
     shared = pre.select(F.explode("prefix").alias("s"), "node").groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
     shared = cut(shared.select("s", "c"), "buckets")
-    run, schema = _shared_rows(_bits(shared, "s"))
+    run, schema = _shared_rows(bit_filter(shared, "s"))
     large = cut(shared.filter(F.col("c") > BLOCK), "large")
     rows_in = pre.mapInArrow(run, schema).join(large, "s", "left")
     dealt = _dealt(rows_in, F.ceil(F.coalesce("c", F.lit(1)) / BLOCK), ["s"], ["node", "n", "chunk", "v"])
@@ -409,7 +411,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     clusters = cut(connected(links).withColumnRenamed("comp", "cluster").join(reps, "node"), "clusters")
 
     sizes = cut(clusters.groupBy("cluster").agg(F.sum("n").alias("total")).filter(F.col("total") > CLUSTER), "large")
-    run, schema = _sets(k, _bits(clusters, "label"))
+    run, schema = _sets(k, bit_filter(clusters, "label"))
     sets = docs.mapInArrow(run, schema).join(clusters.select("node", "cluster"), "node").dropDuplicates(["node"])
     dealt = _dealt(sets.join(sizes, "cluster", "left"), F.ceil(2 * F.coalesce("total", F.lit(1)) / CLUSTER), ["cluster"], ["node", "s"])
     comps = cut(connected(dealt.mapInArrow(_cluster_links(num, den), "a long, b long")), "comps")
