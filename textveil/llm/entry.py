@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import ball_tree, bpe_lexicon, decontaminate, jaccard_join, lang_cnn, quality_nbsvm, substring_dedup, toxicity_pu
+from . import ball_tree, bpe_lexicon, decontaminate, jaccard_join, lang_cnn, mixing_lm, quality_nbsvm, substring_dedup, token_counts, toxicity_pu
 
 QUERIES = {
+    "op10_lm_scoring": mixing_lm.op10_lm_scoring,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op5_language_id": lang_cnn.op5_language_id,
