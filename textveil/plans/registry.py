@@ -1,6 +1,111 @@
-"""Registered queries of the scanner and their DuckDB SQL."""
+"""Registered queries of the scanner and their DuckDB SQL, one for each operator."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.binary import is_binary
+from ..operators import scan
+from ..operators.registry import build_registry
+from . import oracle
+
+PII_NAMES = ("EMAIL", "PHONE", "IP", "CREDIT_CARD", "SSN")
+PATTERN = ("TOKEN_LINE", 'token = "\\w+"')
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def detect(spark, sf_dir, name: str, place: int = 0, source: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
+    return scan.raw_findings(_table(spark, sf_dir, source), [key], name, text, place)
+
+
+def detect_merged(spark, sf_dir, **lists) -> DataFrame:
+    return scan.findings(_documents(spark, sf_dir), ["doc_id"], "text", build_registry(**lists))
+
+
+def custom_pattern(spark, sf_dir) -> DataFrame:
+    found = scan.findings(_documents(spark, sf_dir), ["doc_id"], "text", build_registry(allow=["NONE"], patterns=[PATTERN]))
+    return found.select("doc_id", "detector", "category", "start_byte", "end_byte", "confidence")
+
+
+def mask_text(spark, sf_dir, replacement: str | None = None) -> DataFrame:
+    return scan.mask(_documents(spark, sf_dir), "text", build_registry(allow=PII_NAMES), replacement).select("doc_id", "masked", "findings_count")
+
+
+def _results(spark, sf_dir, **lists) -> DataFrame:
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "text")
+    return scan.results(docs, "path", "text", build_registry(**lists))
+
+
+def findings_by_type(spark, sf_dir, **lists) -> DataFrame:
+    return scan.findings_by_type(detect_merged(spark, sf_dir, **lists), ["doc_id", "pos"])
+
+
+def scan_summary(spark, sf_dir) -> DataFrame:
+    return scan.summary(_results(spark, sf_dir, allow=PII_NAMES))
+
+
+def report_json(spark, sf_dir) -> DataFrame:
+    return scan.json_rows(_results(spark, sf_dir))
+
+
+def binary_check(spark, sf_dir) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    bad = F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.lit("\0")).otherwise(F.lit("")))
+    return docs.select("doc_id", is_binary(F.encode(F.col("text"), "UTF-8")).alias("plain"), is_binary(F.encode(F.left(bad, F.lit(1 << 30)), "UTF-8")).alias("with_nul"))
+
+
+def clean_documents(spark, sf_dir) -> DataFrame:
+    return mask_text(spark, sf_dir).filter("findings_count = 0").select("doc_id")
+
+
+_DETECTORS = {
+    "email": ("EMAIL", 0), "phone": ("PHONE", 0), "ipv4": ("IP", 0), "ipv6": ("IP", 1), "credit_card": ("CREDIT_CARD", 0), "ssn": ("SSN", 0), "path": ("PATH", 0),
+    "aws_key": ("AWS_KEY", 0), "bearer_token": ("BEARER_TOKEN", 0), "jwt": ("JWT", 0), "private_key": ("PRIVATE_KEY", 0), "api_key": ("API_KEY", 0), "database_url": ("DATABASE_URL", 0), "password": ("PASSWORD", 0),
+    "webhook_secret": ("WEBHOOK_SECRET", 0), "slack_token": ("SLACK_TOKEN", 0), "github_token": ("GITHUB_TOKEN", 0), "stripe_key": ("STRIPE_KEY", 0), "generic_secret": ("GENERIC_SECRET", 0),
+}
+
+QUERIES: dict = {f"detect_{k}": partial(detect, name=n, place=i) for k, (n, i) in _DETECTORS.items()}
+QUERIES |= {
+    "detect_path_urls": partial(detect, name="PATH", source="pages", key="page_id", text="url"),
+    "detect_all_merged": detect_merged,
+    "detect_pii_merged": partial(detect_merged, allow=PII_NAMES),
+    "allow_list": partial(detect_merged, allow=("EMAIL", "IP", "no such name")),
+    "deny_list": partial(detect_merged, allow=PII_NAMES, deny=("PHONE", "SSN")),
+    "custom_pattern": custom_pattern,
+    "mask_text": mask_text,
+    "mask_text_custom_replacement": partial(mask_text, replacement="<é$1\\>"),
+    "findings_by_type": findings_by_type,
+    "findings_by_type_pii": partial(findings_by_type, allow=PII_NAMES),
+    "scan_summary": scan_summary,
+    "report_json": report_json,
+    "is_binary": binary_check,
+    "clean_documents": clean_documents,
+}
+
+ORACLE_SQL: dict[str, str] = {f"detect_{k}": oracle.detector_sql(k, "documents", "doc_id", "text") for k in _DETECTORS}
+_TOKEN = oracle.candidates("documents", "doc_id", "text", "token = ", 4096, 'token = "[0-9A-Za-z_]+"', "true", conf="1")
+ORACLE_SQL |= {
+    "detect_path_urls": oracle.detector_sql("path", "pages", "page_id", "url"),
+    "detect_pii_merged": oracle.merged_sql(),
+    "allow_list": oracle.merged_sql(("email", "ipv4", "ipv6")),
+    "deny_list": oracle.merged_sql(("email", "ipv4", "ipv6", "credit_card")),
+    "custom_pattern": f"WITH r AS ({_TOKEN}) " + oracle._findings("documents", "doc_id", "text", PATTERN[0], "custom"),
+    "mask_text": oracle.mask_sql(),
+    "mask_text_custom_replacement": oracle.mask_sql("<é$1\\>"),
+    "detect_all_merged": oracle.merged_sql(oracle.ALL),
+    "findings_by_type": oracle.by_type_sql(oracle.ALL),
+    "findings_by_type_pii": oracle.by_type_sql(),
+    "scan_summary": oracle.merged_ctes() + " SELECT (SELECT count(*) FROM documents) AS files_processed, CAST(0 AS BIGINT) AS files_skipped, CAST(0 AS BIGINT) AS files_errored, (SELECT count(*) FROM f) AS total_findings",
+    "is_binary": "SELECT doc_id, octet_length(encode(text)) - octet_length(encode(regexp_replace(text, '[\\x01-\\x06\\x0e-\\x1a\\x1c-\\x1f]', '', 'g'))) > 0.3 * greatest(least(strlen(text), 8192), 1) AS plain, doc_id % 3 = 0 AND strlen(text) < 8192 AS with_nul FROM documents",
+    "clean_documents": oracle.merged_ctes() + " SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT k FROM f)",
+}
