@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import batch, encoded, fold_col, small_batches, table
 from .labelled import labels_to_learn, some_ids, texts_of
 
-SAMPLE = 6_000  # labelled rows of each class to fit on
+SAMPLE = 3_000  # labelled rows of each class to fit on
 LEAST_DF = 5  # fitted rows that an n-gram must be in
 CACHED = 200_000
 
