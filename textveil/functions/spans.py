@@ -19,24 +19,53 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _numbers(text: Column) -> Column:
+    """The numbers of a text of comma-led numbers."""
+    none = F.array().cast("array<int>")
+    return bound(text, lambda t: F.when(F.length(t) == 0, none).otherwise(F.split(F.substring(t, F.lit(2), F.length(t)), ",").cast("array<int>")))
+
+
+def _unpacked(text: Column, fields: dict[str, str]) -> Column:
+    """Structs of as many numbers of a text each as there are fields, in order."""
+    width = len(fields)
+    none = F.array().cast(f"array<struct<{','.join(f'{k}:{v}' for k, v in fields.items())}>>")
+
+    def structs(n):
+        at = F.sequence(F.lit(0), F.size(n) - 1, F.lit(width))
+        rows = F.transform(at, lambda i: F.struct(*[F.get(n, i + k).cast(kind).alias(name) for k, (name, kind) in enumerate(fields.items())]))
+        return F.when(F.size(n) == 0, none).otherwise(rows)
+
+    return bound(_numbers(text), structs)
+
+
 def _located(b: Column, regex: str, group: int) -> Column:
     """(start, text) of each match; ``group`` 0 for matches that consume, 1 for a captured look-ahead.
 
     Pieces between matches give the starts as a running sum. A zero-width match at the
-    very start has no piece before it.
+    very start has no piece before it. A fold copies its state at each step, so states
+    are a few numbers and one string that gathers what comes out.
     """
-    found, pieces = F.regexp_extract_all(b, F.lit(regex), F.lit(group)), F.split(b, regex, -1)
-    if group:
-        pieces = F.when(F.size(pieces) == F.size(found) + 1, pieces).otherwise(F.concat(F.array(F.lit("")), pieces))
 
-    def step(acc, m):
-        i = F.size(acc["out"])
-        start = acc["at"] + F.length(F.get(acc["pieces"], i))
-        after = start if group else start + F.length(m)
-        return F.struct(after.alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("start"), m.alias("text")))).alias("out"), acc["pieces"].alias("pieces"))
+    def step(acc, x):
+        start = acc["at"] + x["gap"]
+        return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.lit(","), start.cast("string")).alias("out"))
+
+    def starts(found, pieces):
+        if group:
+            pieces = F.when(F.size(pieces) == F.size(found) + 1, pieces).otherwise(F.concat(F.array(F.lit("")), pieces))
+        gaps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), (F.lit(0) if group else F.length(m)).alias("size")))
+        return _numbers(F.aggregate(gaps, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"]))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"), pieces.alias("pieces"))
-    return F.aggregate(found, zero, step, lambda acc: acc["out"])
+    def located(found):
+        at = bound(F.split(b, regex, -1), lambda pieces: starts(found, pieces))
+        return F.zip_with(at, found, lambda start, m: F.struct(start.alias("start"), m.alias("text")))
+
+    return bound(F.regexp_extract_all(b, F.lit(regex), F.lit(group)), located)
 
 
 def matches(b: Column, regex: str) -> Column:
@@ -58,9 +87,12 @@ def greedy(spans: Column) -> Column:
     """Leftmost spans that don't overlap an earlier one kept; ``spans`` is sorted by start."""
 
     def step(acc, s):
-        return F.when((F.size(acc) == 0) | (s["start"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(s))).otherwise(acc)
+        keep = s["start"] >= acc["end"]
+        more = F.concat(acc["out"], *[x for f in ("start", "end", "conf") for x in (F.lit(","), s[f].cast("string"))])
+        return F.struct(F.when(keep, s["end"]).otherwise(acc["end"]).alias("end"), F.when(keep, more).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(spans, no_spans(), step)
+    kept = F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+    return _unpacked(kept, {"start": "int", "end": "int", "conf": "tinyint"})
 
 
 def merge(sorted_spans: Column) -> Column:
@@ -69,30 +101,41 @@ def merge(sorted_spans: Column) -> Column:
     The label goes over to a span of higher confidence, or of equal confidence and
     greater length than the union so far. Touching spans stay apart.
     """
+    fields = ("start", "end", "det", "conf")
 
-    def out(start, end, det, conf):
-        return F.struct(start.alias("start"), end.alias("end"), det.alias("det"), conf.alias("conf"))
+    def flush(acc):
+        return F.when(acc["end"] < 0, acc["out"]).otherwise(F.concat(acc["out"], *[x for f in fields for x in (F.lit(","), acc[f].cast("string"))]))
 
     def step(acc, f):
-        last = F.element_at(acc, -1)
         end = -f["neg_end"]
-        wins = (f["conf"] > last["conf"]) | ((f["conf"] == last["conf"]) & (end - f["start"] > last["end"] - last["start"]))
-        union = out(last["start"], F.greatest(last["end"], end), F.when(wins, f["det"]).otherwise(last["det"]), F.when(wins, f["conf"]).otherwise(last["conf"]))
-        alone = F.concat(acc, F.array(out(f["start"], end, f["det"], f["conf"])))
-        return F.when(F.size(acc) == 0, alone).when(f["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(union))).otherwise(alone)
-
-    return F.aggregate(sorted_spans, F.array().cast(MERGED), step)
+        wins = (f["conf"] > acc["conf"]) | ((f["conf"] == acc["conf"]) & (end - f["start"] > acc["end"] - acc["start"]))
+        meets = f["start"] < acc["end"]
+        taken = ~meets | wins
+        return F.struct(
+            F.when(meets, acc["start"]).otherwise(f["start"]).alias("start"),
+            F.when(meets, F.greatest(acc["end"], end)).otherwise(end).alias("end"),
+            F.when(taken, f["det"]).otherwise(acc["det"]).alias("det"),
+            F.when(taken, f["conf"].cast("int")).otherwise(acc["conf"]).alias("conf"),
+            F.when(meets, acc["out"]).otherwise(flush(acc)).alias("out"),
+        )
+
+    zero = F.struct(F.lit(0).alias("start"), F.lit(-1).alias("end"), F.lit(0).alias("det"), F.lit(-1).alias("conf"), F.lit("").alias("out"))
+    merged = F.aggregate(sorted_spans, zero, step, flush)
+    return _unpacked(merged, {"start": "int", "end": "int", "det": "int", "conf": "tinyint"})
 
 
 def replaced(b: Column, merged: Column, marker) -> Column:
     """The byte view with each span replaced; ``marker`` maps a span to its replacement's byte view."""
 
-    def piece(f, i):
-        before = F.when(i == 0, F.lit(0)).otherwise(F.get(merged, i - 1)["end"])
-        return F.concat(F.substring(b, before + 1, f["start"] - before), marker(f))
+    def build(m):
+        def piece(f, i):
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1)["end"])
+            return F.concat(F.substring(b, before + 1, f["start"] - before), marker(f))
+
+        tail = F.substring(b, F.element_at(m, -1)["end"] + 1, F.length(b))
+        return F.when(F.size(m) == 0, b).otherwise(F.concat(F.array_join(F.transform(m, piece), ""), tail))
 
-    tail = F.substring(b, F.element_at(merged, -1)["end"] + 1, F.length(b))
-    return F.when(F.size(merged) == 0, b).otherwise(F.concat(F.array_join(F.transform(merged, piece), ""), tail))
+    return bound(merged, build)
 
 
 def masked_sample(matched_text: Column, byte_length: Column) -> Column:

@@ -57,7 +57,7 @@ class Registry:
         for i, d in enumerate(self.detectors):
             found.append(F.transform(d.build(b), _placed(i)))
         none = F.array().cast(MERGED)
-        merged = merge(F.array_sort(F.concat(*found))) if found else none
+        merged = merge(F.sort_array(F.concat(*found))) if found else none
         return F.when(b.isNull(), F.lit(None).cast(MERGED)).otherwise(merged)
 
     def name_of(self, det: Column) -> Column:
