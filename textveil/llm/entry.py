@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_top_k": ball_tree.OP1_SQL,
+    "op6_ngram_jaccard_join": jaccard_join.OP6_SQL,
 }

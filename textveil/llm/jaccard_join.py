@@ -462,3 +462,22 @@ def brute_components(rows: list[tuple], k: int = 5, num: int = 80, den: int = 10
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(least.get(find(i), math.inf), d if d is not None else math.inf)
     return [(d, len(sets[i]), None if least[find(i)] == math.inf else int(least[find(i)])) for i, (d, _) in enumerate(rows)]
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP6_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+), u AS (SELECT doc_id, unnest(sh) AS x, len(sh) AS n FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o, any_value(a.n) + any_value(b.n) AS total
+  FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT a, b FROM p WHERE 100 * o >= 80 * (total - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT s.doc_id AS doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = s.doc_id
+"""
