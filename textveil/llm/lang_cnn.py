@@ -186,7 +186,7 @@ def learn(docs: DataFrame, k: int = 4, held: int = 2, id_col: str = "doc_id", te
                         out.append(w[i].tobytes())
             yield batch(schema, lang=lang, w=out)
 
-    rows = sorted((r.lang, bytes(r.w)) for r in chosen.mapInArrow(run, "lang string, w binary").toLocalIterator())
+    rows = sorted((r.lang, bytes(r.w)) for r in chosen.mapInArrow(run, "lang string, w binary").collect())
     if not rows:
         return Network([])
     number = {g: i for i, g in enumerate(sorted({g for g, _ in rows}))}

@@ -175,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", k: int =
 
     import pickle
 
-    got = sorted((r.y, bytes(r.f)) for r in rows.mapInArrow(run, "y int, f binary").toLocalIterator())
+    got = sorted((r.y, bytes(r.f)) for r in rows.mapInArrow(run, "y int, f binary").collect())
     got.sort(key=lambda r: hash_of(r[1]))
     total = sum(counts.values())
     return fit([pickle.loads(f) for _, f in got], np.array([y for y, _ in got]), counts.get(1, 0) / total if total else 0.5)

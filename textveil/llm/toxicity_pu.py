@@ -133,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", k: int = 5,
         for b in batches:
             yield batch(schema, y=b.column(0), h=[np.unique(hashes.array(list(words(t)))).tobytes() for t in b.column(1).to_pylist()])
 
-    got = sorted((r.y, bytes(r.h)) for r in rows.mapInArrow(run, "y int, h binary").toLocalIterator())
+    got = sorted((r.y, bytes(r.h)) for r in rows.mapInArrow(run, "y int, h binary").collect())
     sets = {y: [np.frombuffer(h, np.uint64) for z, h in got if z == y] for y in (0, 1)}
     n_in = min(len(sets[1]), round(len(sets[0]) * prior / max(1e-6, 1 - prior)))
     rng = np.random.default_rng(1)
