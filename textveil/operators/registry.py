@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import partial
+from functools import lru_cache, partial
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,12 +24,13 @@ class Detector:
     build: Callable[[Column], Column]
 
 
-def builtins(assignment_span: str = "value", ipv6: str = "code") -> list[Detector]:
+@lru_cache(maxsize=8)
+def builtins(assignment_span: str = "value", ipv6: str = "code") -> tuple[Detector, ...]:
     """The built-in detectors in their fixed order; both IP detectors share a name."""
     pair = {"assignment_span": assignment_span}
     s = [("AWS_KEY", secrets.aws_key), ("BEARER_TOKEN", secrets.bearer_token), ("JWT", secrets.jwt), ("PRIVATE_KEY", secrets.private_key), ("API_KEY", partial(secrets.api_key, **pair)), ("DATABASE_URL", secrets.database_url), ("PASSWORD", partial(secrets.password, **pair)), ("WEBHOOK_SECRET", secrets.webhook_secret), ("SLACK_TOKEN", secrets.slack_token), ("GITHUB_TOKEN", secrets.github_token), ("STRIPE_KEY", secrets.stripe_key), ("GENERIC_SECRET", partial(secrets.generic_secret, **pair))]
     p = [("EMAIL", pii.email), ("PHONE", pii.phone), ("IP", pii.ipv4), ("IP", partial(pii.ipv6, strict=ipv6 == "strict")), ("CREDIT_CARD", pii.credit_card), ("SSN", pii.ssn), ("PATH", pii.path)]
-    return [Detector(n, "secret", f) for n, f in s] + [Detector(n, "pii", f) for n, f in p]
+    return (*(Detector(n, "secret", f) for n, f in s), *(Detector(n, "pii", f) for n, f in p))
 
 
 def _placed(place: int):
@@ -40,6 +42,19 @@ def _placed(place: int):
     return sortable
 
 
+#: Columns built so far. A detector's takes hundreds of calls to the JVM, and many queries use the same ones.
+_BUILT: dict[tuple, Column] = {}
+
+
+def _found(detector: Detector, place: int, b: Column) -> Column:
+    key = (id(SparkContext._active_spark_context), detector, place, str(b))
+    if key not in _BUILT:
+        if len(_BUILT) >= 256:
+            _BUILT.clear()
+        _BUILT[key] = F.transform(detector.build(b), _placed(place))
+    return _BUILT[key]
+
+
 @dataclass
 class Registry:
     detectors: list[Detector] = field(default_factory=list)
@@ -53,9 +68,7 @@ class Registry:
 
     def detect_all(self, b: Column) -> Column:
         """Merged findings of all detectors in a byte view; null for a null text."""
-        found = []
-        for i, d in enumerate(self.detectors):
-            found.append(F.transform(d.build(b), _placed(i)))
+        found = [_found(d, i, b) for i, d in enumerate(self.detectors)]
         none = F.array().cast(MERGED)
         merged = merge(F.sort_array(F.concat(*found))) if found else none
         return F.when(b.isNull(), F.lit(None).cast(MERGED)).otherwise(merged)
