@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textveil.llm import bpe_lexicon, decontaminate, jaccard_join, quality_nbsvm, substring_dedup
-from textveil.llm.common import cut, table
+from textveil.llm.common import _WRITTEN, cut, discard, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. Once a stage's result is written, what was written for
+    it and before it by this run is deleted."""
+    docs, mine = table(spark, sf_dir, "documents"), len(_WRITTEN)
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), "stage")
+        discard(spark, _WRITTEN[mine:-1])
     return docs
 
 

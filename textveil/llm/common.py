@@ -52,9 +52,24 @@ def cut(df: DataFrame, what: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/textveil-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths written by this driver and not yet discarded.
+_WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written intermediates that nothing will read again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+        if p in _WRITTEN:
+            _WRITTEN.remove(p)
+
+
 def lowered_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text as UTF-8 bytes, A-Z lower-cased.
 
