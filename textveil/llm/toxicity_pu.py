@@ -1,10 +1,10 @@
 """Toxicity: non-negative positive-unlabelled learning of a linear word model.
 
-Confirmed toxic texts are the positives; all other texts that may be learned from,
-whatever their label, are unlabelled. With class prior p, the risk is
-``p R+(positives) + max(0, R-(unlabelled) - p R-(positives))`` under logistic loss;
-when a batch's corrected negative part falls under zero, the step goes the other way
-on that part, so rare toxic texts among the unlabelled aren't learned as clean. The
+Confirmed toxic texts are the positives; a draw from all texts that may be learned
+from, whatever their label, is unlabelled. With class prior p, the risk is
+``p R+(positives) + max(0, R-(unlabelled) - p R-(positives))`` under logistic loss:
+toxic texts among the unlabelled aren't learned as clean, and the corrected negative
+part never counts below zero. The
 prior is the share of toxic among the labels that may be learned from. The model is
 trained in numpy on ``SAMPLE`` positives and ``SAMPLE`` unlabelled texts at most,
 chosen by hash; scoring reads every whole text.
@@ -27,12 +27,12 @@ _MARKS = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def words(text: str | None) -> set[bytes]:
-    """Distinct lower-cased runs of letters and digits, and their beginnings of 4 to 6
+    """Distinct lower-cased runs of letters and digits, and their beginnings of 6 to 8
     bytes, which stand for inflected forms; none for null and empty texts."""
     if not text:
         return set()
     out = set(encoded(text.lower()).translate(_MARKS).split())
-    return out.union(*({b"%d^%b" % (n, w[:n]) for w in out if len(w) > n} for n in (4, 5, 6)))
+    return out.union(*({b"%d^%b" % (n, w[:n]) for w in out if len(w) > n} for n in (6, 7, 8)))
 
 
 class Words:
@@ -56,7 +56,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 200, sparse: float = 0.2):
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 200, sparse: float = 0.06):
     """(vocabulary, weights, bias) of the least non-negative corrected risk.
 
     Proximal gradient steps under an L1 penalty choose the words (a word whose gradient
@@ -91,8 +91,8 @@ def _descend(positive, unlabelled, vocabulary, prior, rounds, sparse):
         gp, gn, gu = -prior * _sigmoid(-zp) / n_p, -prior * _sigmoid(zp) / n_p, _sigmoid(zu) / n_u
         if neg >= 0:
             gp = gp + gn
-        else:  # the corrected negative part can't be under zero: push it back up
-            gp, gu = -gn, -gu
+        else:  # the corrected negative part counts as zero and has no slope
+            gu = np.zeros_like(gu)
         g = np.bincount(col_p, gp[row_p], width) + np.bincount(col_u, gu[row_u], width)
         return prior * np.logaddexp(0, -zp).mean() + max(0.0, neg), g, gp.sum() + gu.sum()
 
@@ -123,8 +123,8 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", k: int = 5,
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     positive = some_ids(known.filter("__y = 1").select("__id"), SAMPLE, "__id").withColumn("__y", F.lit(1))
     rest = docs.select(F.col(id_col).cast("long").alias("__id")).filter(F.col("__id").isNotNull() & (fold_col(F.col("__id"), k) != held))
-    rest = some_ids(rest.distinct().join(known.filter("__y = 1"), "__id", "left_anti"), SAMPLE, "__id").withColumn("__y", F.lit(0))
-    # a share of the positives stands among the unlabelled, as it does in all rows
+    # drawn from all rows, positives and all: the correction counts on prior times positives among them
+    rest = some_ids(rest.distinct(), SAMPLE, "__id").withColumn("__y", F.lit(0))
     rows = texts_of(docs, positive.unionByName(rest).select("__id", "__y"), id_col, text_col)
     schema = pa.schema([("y", pa.int32()), ("h", pa.binary())])
 
@@ -135,10 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", k: int = 5,
 
     got = sorted((r.y, bytes(r.h)) for r in rows.mapInArrow(run, "y int, h binary").collect())
     sets = {y: [np.frombuffer(h, np.uint64) for z, h in got if z == y] for y in (0, 1)}
-    n_in = min(len(sets[1]), round(len(sets[0]) * prior / max(1e-6, 1 - prior)))
-    rng = np.random.default_rng(1)
-    among = [sets[1][i] for i in rng.permutation(len(sets[1]))[:n_in]]
-    return train(sets[1], sets[0] + among, prior)
+    return train(sets[1], sets[0], prior)
 
 
 def score(docs: DataFrame, model, k: int = 5, held: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
