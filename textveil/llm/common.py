@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +61,13 @@ def cut(df: DataFrame, what: str = "t") -> DataFrame:
 _WRITTEN: list[str] = []
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find shuffles that no frame refers to any more; else their files
+    stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Delete written intermediates that nothing will read again."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
