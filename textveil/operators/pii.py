@@ -24,6 +24,14 @@ def gated(gate: Column, found: Column) -> Column:
     return F.when(gate, found).otherwise(no_spans())
 
 
+def any_of(b: Column, *texts: str) -> Column:
+    """Whether one of some fixed texts stands in the view: a byte search, far cheaper than a regex."""
+    out = F.contains(b, F.lit(texts[0]))
+    for t in texts[1:]:
+        out = out | F.contains(b, F.lit(t))
+    return out
+
+
 def _end(c: Column) -> Column:
     return c["start"] + F.length(c["text"])
 

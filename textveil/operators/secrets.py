@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.spans import HIGH, MEDIUM, greedy, matches, span
-from .pii import ALNUM, NOT_AFTER_WORD, gated
+from .pii import ALNUM, NOT_AFTER_WORD, any_of, gated
 
 URL_WINDOW, JWT_WINDOW = 2048, 4096
 B64URL = "A-Za-z0-9_-"
@@ -22,16 +22,16 @@ def _all(found: Column, conf) -> Column:
     return F.transform(found, lambda c: span(c["start"], c["start"] + F.length(c["text"]), conf(c) if callable(conf) else conf))
 
 
-def _prefixed(b: Column, gate: str, regex: str, least: int) -> Column:
-    return gated(b.rlike(gate), _all(F.filter(matches(b, regex), lambda c: F.length(c["text"]) >= least), HIGH))
+def _prefixed(b: Column, gate: Column, regex: str, least: int) -> Column:
+    return gated(gate, _all(F.filter(matches(b, regex), lambda c: F.length(c["text"]) >= least), HIGH))
 
 
 def aws_key(b: Column) -> Column:
-    return _prefixed(b, "A(?:KI|BI|CC|SI)A", f"{NOT_AFTER_WORD}(?:AKIA|ABIA|ACCA|ASIA)[{ALNUM}]{{16}}(?![{ALNUM}])", 20)
+    return _prefixed(b, any_of(b, "AKIA", "ABIA", "ACCA", "ASIA"), f"{NOT_AFTER_WORD}(?:AKIA|ABIA|ACCA|ASIA)[{ALNUM}]{{16}}(?![{ALNUM}])", 20)
 
 
 def bearer_token(b: Column) -> Column:
-    return _prefixed(b, "(?i)bearer ", rf"(?i){NOT_AFTER_WORD}bearer [A-Za-z0-9_.-]{{20,{URL_WINDOW}}}+", 27)
+    return _prefixed(b, any_of(F.lower(b), "bearer "), rf"(?i){NOT_AFTER_WORD}bearer [A-Za-z0-9_.-]{{20,{URL_WINDOW}}}+", 27)
 
 
 def jwt(b: Column) -> Column:
@@ -48,24 +48,25 @@ def private_key(b: Column) -> Column:
     return gated(F.contains(b, F.lit("-----BEGIN ")), _all(found, closed))
 
 
-def _assignment(b: Column, keyword: str, assignment_span: str) -> Column:
+def _assignment(b: Column, keyword: str, hints: tuple[str, ...], assignment_span: str) -> Column:
     """keyword = value or keyword: value, quotes around the value stripped; values of 4 bytes and more."""
     head = rf"(?i)(?:{keyword})[ \t]*+[=:][ \t]*+[\"']?+"
     value = r"[^ \t\n\r\f\"',;]{4,}+"
     found = matches(b, head + value)
+    gate = any_of(F.lower(b), *hints)
     if assignment_span == "pair":
-        return gated(b.rlike(f"(?i){keyword}"), _all(found, MEDIUM))
+        return gated(gate, _all(found, MEDIUM))
 
     def of_value(c):
         size = F.length(c["text"]) - F.length(F.regexp_substr(c["text"], F.lit(f"^{head}")))
         end = c["start"] + F.length(c["text"])
         return span(end - size, end, MEDIUM)
 
-    return gated(b.rlike(f"(?i){keyword}"), F.transform(found, of_value))
+    return gated(gate, F.transform(found, of_value))
 
 
 def api_key(b: Column, assignment_span: str = "value") -> Column:
-    return _assignment(b, "api_key|apikey|api-key|access_key|secret_key", assignment_span)
+    return _assignment(b, "api_key|apikey|api-key|access_key|secret_key", ("key",), assignment_span)
 
 
 def database_url(b: Column) -> Column:
@@ -75,24 +76,24 @@ def database_url(b: Column) -> Column:
 
 
 def password(b: Column, assignment_span: str = "value") -> Column:
-    return _assignment(b, "password|passwd|pass", assignment_span)
+    return _assignment(b, "password|passwd|pass", ("pass",), assignment_span)
 
 
 def webhook_secret(b: Column) -> Column:
-    return _prefixed(b, "whs", f"{NOT_AFTER_WORD}wh(?:sec|sk)_[{B64URL}]++", 20)
+    return _prefixed(b, any_of(b, "whsec_", "whsk_"), f"{NOT_AFTER_WORD}wh(?:sec|sk)_[{B64URL}]++", 20)
 
 
 def slack_token(b: Column) -> Column:
-    return _prefixed(b, "xox", f"{NOT_AFTER_WORD}xox[bpsaor]-[A-Za-z0-9-]++", 15)
+    return _prefixed(b, any_of(b, "xox"), f"{NOT_AFTER_WORD}xox[bpsaor]-[A-Za-z0-9-]++", 15)
 
 
 def github_token(b: Column) -> Column:
-    return _prefixed(b, "gh[pousr]_|github_pat_", f"{NOT_AFTER_WORD}(?:gh[pousr]_|github_pat_)[A-Za-z0-9_]++", 15)
+    return _prefixed(b, any_of(b, "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), f"{NOT_AFTER_WORD}(?:gh[pousr]_|github_pat_)[A-Za-z0-9_]++", 15)
 
 
 def stripe_key(b: Column) -> Column:
-    return _prefixed(b, "[spr]k_(?:live|test)_", f"{NOT_AFTER_WORD}[spr]k_(?:live|test)_[A-Za-z0-9_]++", 15)
+    return _prefixed(b, any_of(b, "k_live_", "k_test_"), f"{NOT_AFTER_WORD}[spr]k_(?:live|test)_[A-Za-z0-9_]++", 15)
 
 
 def generic_secret(b: Column, assignment_span: str = "value") -> Column:
-    return greedy(_assignment(b, rf"(?<![{ALNUM}])(?:secret|token|credential|auth_key)(?![{ALNUM}])", assignment_span))
+    return greedy(_assignment(b, rf"(?<![{ALNUM}])(?:secret|token|credential|auth_key)(?![{ALNUM}])", ("secret", "token", "credential", "auth_key"), assignment_span))
