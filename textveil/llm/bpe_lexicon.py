@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, encoded, environ_path, small_batches, table
+from .common import batch, encoded, environ_path, small_batches, table, worker_memory
 
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEXICON = 1 << 15  # words compiled into the automaton
@@ -313,15 +313,12 @@ class Codec:
             lo = hi
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def _codec(key, vocabulary, lexicon) -> Codec:
     """One codec for a worker process and model; a later task finds its memory warm."""
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(vocabulary, mapped(lexicon))
-    return _CODECS[key]
+    kept = worker_memory("bpe")
+    if kept.get("key") != key:
+        kept["key"], kept["codec"] = key, Codec(vocabulary, mapped(lexicon))
+    return kept["codec"]
 
 
 #: Every ASCII byte but a letter becomes a space; what stays are the letter runs of most languages.

@@ -146,6 +146,22 @@ def _byte_values() -> np.ndarray:
     return v
 
 
+_HELD: dict = {"owner": None}
+
+
+def worker_memory(owner: str) -> dict:
+    """What a Python worker keeps from task to task, for one operator at a time.
+
+    Workers outlive an operator, so the next one that runs in them first drops what the
+    last one remembered.
+    """
+    if _HELD["owner"] != owner:
+        _HELD.clear()
+        _HELD["owner"] = owner
+        gc.collect()
+    return _HELD
+
+
 class FlatWords:
     """64-bit hashes of all words of a string column, without a Python object for any word.
 
@@ -155,6 +171,7 @@ class FlatWords:
     """
 
     def __init__(self, size: int = 1 << 20, space: np.ndarray | None = None):
+        worker_memory("words")
         self.size, self.values, self.space = size, _byte_values(), _SPACE if space is None else space
         self._powers(size)
 

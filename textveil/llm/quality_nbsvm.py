@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, encoded, fold_col, small_batches, table
+from .common import batch, encoded, fold_col, small_batches, table, worker_memory
 from .labelled import labels_to_learn, some_ids, texts_of
 
 SAMPLE = 3_000  # labelled rows of each class to fit on
@@ -36,6 +36,10 @@ def shape(word: bytes) -> str:
 
 
 class Shapes(dict):
+    def __init__(self):
+        super().__init__()
+        worker_memory("shapes")
+
     def __missing__(self, word: bytes) -> str:
         if len(self) >= CACHED:
             self.clear()

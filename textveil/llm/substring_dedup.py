@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitfilter import bit_filter, passes
-from .common import batch, cut, encoded, small_batches, table
+from .common import batch, cut, encoded, small_batches, table, worker_memory
 
 MIN_WORDS = 8
 LAST = (1 << 63) - 1  # the rank of rows with a null id
@@ -71,6 +71,7 @@ def _all_units():
     schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc", pa.int64())])
 
     def run(batches):
+        worker_memory("units")
         for b in batches:
             hs, gs, ds = [], [], []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

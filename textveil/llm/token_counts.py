@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, encoded, environ_path, small_batches, table
+from .common import batch, encoded, environ_path, small_batches, table, worker_memory
 
 MARK = "▁"
 CACHED = 300_000
@@ -87,9 +87,6 @@ class Counter:
             lo = hi
 
 
-_COUNTERS: dict[int, Counter] = {}
-
-
 def token_counts(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_pretokens long, n_tokens long) of every whole text; zeros for null, empty and
     blank ones. Every input row gives one row; other columns aren't read."""
@@ -101,7 +98,10 @@ def token_counts(docs: DataFrame, model_path: str | None = None, id_col: str = "
 
     def run(batches):
         key = hash(tuple(model.value.items()))
-        counter = _COUNTERS.setdefault(key, Counter(model.value))
+        kept = worker_memory("counts")
+        if kept.get("key") != key:
+            kept["key"], kept["counter"] = key, Counter(model.value)
+        counter = kept["counter"]
         for b in batches:
             got = list(counter.batch(b.column(1).to_pylist()))
             yield batch(schema, id=b.column(0), n_pretokens=[n for n, _ in got], n_tokens=[n for _, n in got])
