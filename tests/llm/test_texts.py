@@ -86,6 +86,16 @@ def test_decontamination(spark, odd_docs):
     assert contaminated(odd_docs, benchmark).count() == 0
 
 
+def test_decontamination_by_common_seeds(spark):
+    """One whole copy must not make the seeds that many partial copies share too common."""
+    words = [f"w{i}" for i in range(43)]
+    half = " ".join(words[:22])
+    docs = spark.createDataFrame([(i, f"head{i} {half} tail{i}") for i in range(50)] + [(99, " ".join(words))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: r.similarity for r in contaminated(docs, benchmark).collect()}
+    assert got == {i: 22 / 43 for i in range(50)} | {99: 1.0}
+
+
 def test_token_counts(spark, odd_docs, odd_rows):
     costs = unigram_costs(environ_path("piece_bpe_32k.model"))
     got = token_counts(odd_docs).collect()

@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
 Word n-grams of the test items are seeds. One pass over the training texts finds the
 places where one stands (a bit filter of fixed size tells which n-grams to send) and
-cuts *passages* around them, long enough for the longest item. Seeds are counted over
-all passages; a seed that is far more frequent than most of its item's seeds isn't
-rare and joins nothing. Passages meet items through the seeds left, and word-level
+cuts *passages* around them, long enough for the longest item. A passage meets every
+item that it shares a seed with, however common the seed is, and word-level
 Smith-Waterman alignment scores each pair, so copies that were edited or paraphrased
-in part are found as well.
+in part are found as well. Pairs whose common words can't reach the score wanted
+aren't aligned.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from .bitfilter import bit_filter, passes
 from .common import FlatWords, batch, cut, runs, small_batches, table
 
 SEED = 4  # words
-COMMON = 8  # times the item's median frequency, from which a seed isn't rare
 MATCH, MISMATCH, GAP = 2, -1, -1
 SIMILAR = 0.4  # of the greatest score an item can have
 LEAST_WORDS = 8  # items with fewer words can't be told from chance and match only whole
@@ -140,11 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     passages = rows.mapInArrow(run, schema).withColumn("pid", F.xxhash64("doc", "row", "at"))
     passages = cut(passages, "passages").dropDuplicates(["doc", "row", "at"])
     found = passages.select("pid", F.explode("seeds").alias("s"))
-    often = cut(found.groupBy("s").agg(F.count("*").alias("df")), "often")
-    known = seeds.join(often, "s")
-    usual = known.groupBy("key").agg(F.percentile_approx("df", 0.5).alias("usual"))
-    rare = cut(known.join(usual, "key").filter(F.col("df") <= COMMON * F.greatest(F.col("usual"), F.lit(1))).select("s", "key"), "rare")
-    pairs = cut(found.join(rare, "s").select("pid", "key").distinct(), "pairs")
+    pairs = cut(found.join(seeds, "s").select("pid", "key").distinct(), "pairs")
     both = pairs.join(passages.select("pid", "doc", "row", "at", F.col("words").alias("there")), "pid").join(items.select("key", "item", "words"), "key")
     out_schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 
@@ -152,10 +147,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for b in batches:
             keep, sim, lo, hi = [], [], [], []
             for i, (at, there, words) in enumerate(zip(b.column(3).to_pylist(), b.column(4), b.column(5), strict=True)):
-                item = np.frombuffer(words.as_buffer(), np.uint64)
-                s, x, y = align(item, np.frombuffer(there.as_buffer(), np.uint64))
+                item, passage = (np.frombuffer(z.as_buffer(), np.uint64) for z in (words, there))
+                least = similar if len(item) >= LEAST_WORDS else 1.0
+                if np.isin(item, passage).mean() < least:  # no alignment matches more words
+                    continue
+                s, x, y = align(item, passage)
                 s /= MATCH * len(item)
-                if s >= (similar if len(item) >= LEAST_WORDS else 1.0):
+                if s >= least:
                     keep.append(i)
                     sim.append(s)
                     lo.append(at + x)
