@@ -42,6 +42,22 @@ def test_cut_out():
     assert cut_out("x. yy. z.", [(3, 6)]) == "x. z." and cut_out("abc", [(0, 3)]) == ""
 
 
+def test_repeats_of_short_pieces(spark):
+    """Verse, text wrapped elsewhere and text without blanks go whole, though no line of theirs has 8 words."""
+    verse = "\n".join(f"line {i} of the song" for i in range(12))
+    prose = "The quick brown fox jumps over the lazy dog today. Short one. Then it sleeps until the sun comes up again"
+    signs = "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少。"
+    wrap = lambda n: "\n".join(" ".join(prose.split()[i : i + n]) for i in range(0, 21, n))
+    rows = [(1, verse), (2, "Another title\n" + verse + "\nits end"), (3, wrap(5)), (4, wrap(7)), (5, signs), (6, "不同的開頭。" + signs + "完"), (7, "few words\nof its own"), (8, "few words\nof its own")]
+    out = {r.doc_id: r.text for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == dict(rows) | {2: "Another title\nits end", 4: "", 6: "不同的開頭。完"}
+
+
+def test_repeats_inside_a_text_keep_one_whole(spark):
+    out = without_repeats(spark.createDataFrame([(1, "\n".join(["la la"] * 20))], "doc_id long, text string")).first().text
+    assert out == "\n".join(["la la"] * 4)
+
+
 def slow_align(item, words):
     best = 0
     h = [[0] * (len(words) + 1) for _ in range(len(item) + 1)]

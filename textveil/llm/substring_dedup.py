@@ -1,12 +1,16 @@
 """Substring dedup by line and sentence hashing.
 
-A text's units are its lines and, inside lines of several sentences, its sentences; a
-unit has ``MIN_WORDS`` words at least, so a short phrase that many texts share is left
-alone. Units are normalised (case folded, white space collapsed) and digested to 128
-bits. Digests are grouped over all texts by a combining aggregate on (least id,
-count); the occurrence of the least id, and in it the first, stays, and all others are
-removed. Their spans keep the original character offsets. Sentences catch a passage
-that was pasted inside another line.
+A text's pieces are its lines, cut at the ends of sentences, and the sentences that go
+on over line breaks. Pieces, whole lines and *runs* are units. A run starts or ends at
+any piece and takes its neighbours in until it has ``MIN_WORDS`` words, across line
+breaks and blank lines, so whatever whole pieces a repeated passage of that length is
+made of, each is in a unit that repeats; a shorter phrase that many texts share is left
+alone. Scripts without blanks between words count by characters. Units are normalised
+(case folded, white space collapsed) and digested to 128 bits. Digests are grouped over
+all texts by a combining aggregate on (least id, count); the occurrence of the least
+id, and in it the first, stays, and all others are removed. Their spans keep the
+original character offsets. Sentences catch a passage that was pasted inside another
+line or wrapped at other places.
 """
 
 from __future__ import annotations
@@ -25,40 +29,125 @@ MIN_WORDS = 8
 LAST = (1 << 63) - 1  # the rank of rows with a null id
 
 
+#: Scripts that put no blanks between words, and those of them that part phrases by blanks.
+PHRASED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+UNSPACED = re.compile(f"[{PHRASED}\u2e80-\u2fdf\u3005-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+UNSPACED_BLANK = re.compile(f"(?<={UNSPACED.pattern}) (?={UNSPACED.pattern})")
+MARKS = ".!?\u3002\uff01\uff1f\uff61"
+ENDS = re.compile(f"[.!?]+(?=\\s)|[{MARKS[3:]}]+")
+PIECE_ENDS = re.compile(rf"{ENDS.pattern}|\n|(?<=[{PHRASED}])[ \t]+")
+CHARS = 2  # of a script without blanks that count as a word
+
+
 def sentences(line: str):
-    """(start, end) of each sentence: up to marks . ! ? that white space or the end follows."""
+    """(start, end) of each sentence: up to marks . ! ? that white space or the end follows, or full-width ones."""
     start = 0
-    for m in re.finditer(r"[.!?]+(?=\s)", line):
+    for m in ENDS.finditer(line):
         yield start, m.end()
         start = m.end()
     if start < len(line):
         yield start, len(line)
 
 
+def weight(words: list[str]) -> int:
+    """The number of words; those of scripts without blanks count by their characters."""
+    joined = "".join(words)
+    return len(words) if joined.isascii() else sum(max(1, len(UNSPACED.findall(w)) // CHARS) for w in words)
+
+
+def normal(text: str) -> str:
+    return UNSPACED_BLANK.sub("", text) if not text.isascii() else text
+
+
 def units(text: str | None):
-    """(start, end, normalised) of each unit, in order; a line comes before its sentences."""
+    """(start, end, normalised) of the lines and sentences in lines that are units by themselves, in order."""
     at = 0
     for line in text.split("\n") if text else ():
         parts = line.split()
-        if len(parts) >= MIN_WORDS:
+        if weight(parts) >= MIN_WORDS:
             lead = len(line) - len(line.lstrip())
             tail = len(line.rstrip())
-            yield at + lead, at + tail, " ".join(parts).casefold()
+            yield at + lead, at + tail, normal(" ".join(parts).casefold())
             cuts = list(sentences(line))
             if len(cuts) > 1:
                 for a, b in cuts:
                     words = line[a:b].split()
-                    if len(words) >= MIN_WORDS:
+                    if weight(words) >= MIN_WORDS:
                         lead = len(line[a:b]) - len(line[a:b].lstrip())
-                        yield at + a + lead, at + a + len(line[a:b].rstrip()), " ".join(words).casefold()
+                        yield at + a + lead, at + a + len(line[a:b].rstrip()), normal(" ".join(words).casefold())
         at += len(line) + 1
 
 
+def pieces(text: str):
+    """(starts, ends, normalised, weights) of the pieces that hold a word."""
+    starts, ends, words, weights = [], [], [], []
+    at = 0
+    for end in [*(m.end() for m in PIECE_ENDS.finditer(text)), len(text)]:
+        part = text[at:end]
+        w = part.split()
+        if w:
+            starts.append(at + len(part) - len(part.lstrip()))
+            ends.append(at + len(part.rstrip()))
+            words.append(" ".join(w).casefold())
+            weights.append(weight(w))
+        at = end
+    return starts, ends, words, weights
+
+
+def runs_of(groups: list[tuple[int, int]], sizes: list[int]):
+    """(first, last) piece of the least run of groups from each group on, and of the least up to each."""
+    n = len(groups)
+    total = hi = 0
+    for lo in range(n):
+        while hi < n and total < MIN_WORDS:
+            total += sizes[hi]
+            hi += 1
+        if total < MIN_WORDS:
+            break
+        yield groups[lo][0], groups[hi - 1][1]
+        total -= sizes[lo]
+    total, lo = 0, n - 1
+    for hi in range(n - 1, -1, -1):
+        while lo >= 0 and total < MIN_WORDS:
+            total += sizes[lo]
+            lo -= 1
+        if total < MIN_WORDS:
+            break
+        yield groups[lo + 1][0], groups[hi][1]
+        total -= sizes[hi]
+
+
+def all_units(text: str | None):
+    """(start, end, normalised) of each unit, ordered by start and end: those of ``units``,
+    sentences over line breaks, and runs of short pieces."""
+    if not text:
+        return []
+    starts, ends, words, weights = pieces(text)
+    n = len(starts)
+    lines: list[tuple[int, int]] = []
+    wrapped: list[tuple[int, int]] = []  # sentences over line breaks; a blank line ends one
+    for i in range(n):
+        breaks = text.count("\n", ends[i - 1], starts[i]) if i else 2
+        if breaks:
+            lines.append((i, i))
+        else:
+            lines[-1] = (lines[-1][0], i)
+        if breaks == 1 and text[ends[i - 1] - 1] not in MARKS:
+            wrapped[-1] = (wrapped[-1][0], i)
+        else:
+            wrapped.append((i, i))
+    found = set(runs_of([(i, i) for i in range(n)], weights))
+    found.update((a, b) for a, b in lines if sum(weights[a : b + 1]) >= MIN_WORDS)
+    if len(wrapped) < n:
+        found.update(runs_of(wrapped, [sum(weights[a : b + 1]) for a, b in wrapped]))
+    return [(starts[a], ends[b], normal(" ".join(words[a : b + 1]) if a < b else words[a])) for a, b in sorted(found)]
+
+
 def _digests(text: str | None):
     from xxhash import xxh3_128_intdigest
 
     starts, ends, d = [], [], []
-    for a, b, t in units(text):
+    for a, b, t in all_units(text):
         starts.append(a)
         ends.append(b)
         d.append(xxh3_128_intdigest(encoded(t)))
@@ -95,9 +184,9 @@ def _repeated_units(bits):
                 starts, ends, h, g = _digests(t)
                 if not h:
                     continue
-                seen: dict = {}
+                first_end: dict = {}
                 for i in np.flatnonzero(passes(packed, np.array(h, np.int64))).tolist():
-                    nth = seen[h[i], g[i]] = seen.get((h[i], g[i]), -1) + 1
+                    nth = int(starts[i] >= first_end.setdefault((h[i], g[i]), ends[i]))  # what overlaps the first goes with it
                     for c, x in zip(out, (h[i], g[i], doc, row, starts[i], ends[i], nth), strict=True):
                         c.append(x)
             yield batch(schema, **dict(zip(schema.names, out, strict=True)))
@@ -108,7 +197,13 @@ def _repeated_units(bits):
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the spans; a whole line goes with its line break, a sentence with the blanks after it."""
     out, at = [], 0
+    apart: list[list[int]] = []
     for a, b in sorted(spans):
+        if apart and a < apart[-1][1]:
+            apart[-1][1] = max(apart[-1][1], b)
+        else:
+            apart.append([a, b])
+    for a, b in apart:
         if b <= at:
             continue
         a = max(a, at)
@@ -180,9 +275,8 @@ def brute_spans(rows: list[tuple]) -> dict:
     first: dict = {}
     out: dict = {}
     for doc, text in sorted(rows, key=lambda r: LAST if r[0] is None else r[0]):
-        for a, b, t in sorted(units(text)):
+        for a, b, t in all_units(text):
             have = first.setdefault(t, doc)
-            if have != doc or (t, doc) in first:
+            if have != doc or a >= first.setdefault((t, doc), b):
                 out.setdefault(doc, []).append((a, b, have))
-            first[t, doc] = True
     return out
