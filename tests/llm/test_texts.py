@@ -172,6 +172,19 @@ def test_byte_model_is_a_distribution():
     assert np.exp(one).sum() < 1.0 and model.log_probs([b"the"])[0] > model.log_probs([b"xqz"])[0]
 
 
+def test_byte_model_keeps_the_ratio_of_great_counts():
+    import numpy as np
+
+    from textveil.llm.mixing_lm import SLOT_BITS, ByteModel, slot_bits
+
+    model = ByteModel(np.full((1 << SLOT_BITS, 2), (330_361, 43_331), np.uint32))
+    share = lambda z: 1 / (1 + np.exp(-z))
+    assert abs(share(model.stretched[7]) - 43_331 / 373_692) < 1e-4
+    x, _ = model.without_own(np.array([1], np.uint8), [np.array([7])] * 4)
+    assert abs(share(x[0][0]) - 43_330 / 373_691) < 1e-4
+    assert slot_bits(0) == slot_bits(300_000) == SLOT_BITS < slot_bits(4_000_000) < slot_bits(200_000_000)
+
+
 def test_fold_columns(spark, odd_docs):
     from textveil.llm.common import fold_col
 
