@@ -7,6 +7,8 @@ from textveil.llm import ball_tree
 from textveil.llm.graph import connected
 from textveil.llm.jaccard_join import brute_components, forest, jaccard_components, near_copies_removed
 
+from .conftest import WORDS
+
 
 def test_components_equal_brute_force(odd_docs, odd_rows):
     got = sorted(map(tuple, jaccard_components(odd_docs).collect()), key=repr)
@@ -38,6 +40,27 @@ def test_near_copies_removed(odd_docs, odd_rows):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {d for d, c in comp.items() if d == c}
 
 
+def test_near_copies_of_odd_rows(spark):
+    """One row of a component stays, whatever its ids; a text that shares only its id stays too."""
+    rng = random.Random(6)
+    a, u, v, w = (" ".join(rng.choices(WORDS, k=60)) for _ in range(4))
+    rows = [(3, a), (5, a.upper()), (5, u), (None, v), (None, v + " tail"), (None, w), (None, None), (None, None), (7, ""), (7, ""), (8, ""), (9, None)]
+    kept = near_copies_removed(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int"))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    nulls = [x for x in got if x[0] is None and x[1] and x[1].startswith(v)]
+    assert len(nulls) == 1 and kept.columns == ["doc_id", "text", "node"]
+    assert [x for x in got if x not in nulls] == sorted([(3, a), (5, u), (None, w), (None, None), (7, ""), (8, ""), (9, None)], key=repr)
+
+
+def test_long_words_of_equal_polynomial_hash(spark):
+    """Thue-Morse words, on which polynomials modulo a power of two agree."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, two = ("".join("ab"[b ^ side] for b in bits) for side in (0, 1))
+    rows = [(1, one), (2, two), (3, one.upper())]
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_components(rows) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
 def test_forest_spans_components():
     rng = np.random.default_rng(1)
     v = np.repeat(rng.integers(0, 9, (6, 128)), 30, 0).astype(np.uint8)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from textveil.llm.common import environ_path, fold, lowered_words
 from textveil.llm.decontaminate import align, contaminated, contaminated_removed
 from textveil.llm.mixing_lm import score_texts
-from textveil.llm.substring_dedup import brute_spans, cut_out, repeated_spans, units, without_repeats
+from textveil.llm.substring_dedup import LAST, brute_spans, cut_out, repeated_spans, units, without_repeats
 from textveil.llm.token_counts import Counter as TokenCounter
 from textveil.llm.token_counts import brute_count, token_counts, unigram_costs
 
@@ -26,12 +26,16 @@ def test_units_keep_offsets():
 def test_repeats_equal_brute_force(spark, odd_docs, odd_rows, rng):
     shared = " ".join(sentence(rng) for _ in range(6))
     rows = [*odd_rows, (500, text(rng, 60) + "\n" + shared), (501, "Before it " + shared + " and after"), (502, shared), (503, "No line of this one stands anywhere else in all the rows.")]
-    unique = [r for i, r in enumerate(rows) if r[0] is not None and r not in rows[:i]]
-    df = spark.createDataFrame(unique, "doc_id long, text string")
-    got = {r.doc: [(s.start, s.end, s.first_doc) for s in r.spans] for r in repeated_spans(df).collect()}
-    assert got == {k: sorted(set(v)) for k, v in brute_spans(unique).items()}
+    # rows without an id, and of one id with unlike texts, that share a passage
+    rows += [(None, "lead one\n" + shared), (None, "lead two\n" + shared), (None, "\n".join(["a line without any id that stands in two rows"] * 2)), (None, "x\na line without any id that stands in two rows")]
+    rows += [(-4, "this line of nine words stands under one id\nonce"), (-4, "this line of nine words stands under one id\ntwice"), (505, "\n".join(["this line of nine words stands under one id"] * 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.h: r.text for r in df.select(F.xxhash64("text").alias("h"), "text").collect()}
+    got = {(None if r.doc == LAST else r.doc, hashes[r.row]): [(s.start, s.end, s.first_doc) for s in r.spans] for r in repeated_spans(df).collect()}
+    assert got == {k: sorted(set(v), key=lambda x: (x[0], x[1], LAST if x[2] is None else x[2])) for k, v in brute_spans(rows).items()}
+    assert sum(k[0] is None for k in got) >= 3 and sum(k[0] == -4 for k in got) == 1
     out = {r.doc_id: r.text for r in without_repeats(df).collect()}
-    assert out[500].endswith(shared) and out[502] == "" and len(out[501]) < len(shared) and out[503] == rows[-1][1]
+    assert out[500].endswith(shared) and out[502] == "" and len(out[501]) < len(shared) and out[503].startswith("No line of this")
     kept = without_repeats(odd_docs)
     assert kept.count() == odd_docs.count() and kept.drop("removed_spans").columns == odd_docs.columns
     assert without_repeats(odd_docs.limit(0)).count() == 0
@@ -102,6 +106,14 @@ def test_decontamination(spark, odd_docs):
     assert contaminated(odd_docs, benchmark).count() == 0
 
 
+def test_short_items_inside_longer_texts(spark):
+    docs = [(1, "this is much too short to matter at all"), (2, "too. SHORT"), (3, "short too"), (4, "one"), (5, "five words stand here now"), (6, "all five words stand here, now then"), (7, "five words stand there now")]
+    items = [(0, "too short"), (1, "one"), (2, "five words stand here now"), (3, "much too short")]
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): (r.first_word, r.end_word, r.similarity) for r in found.collect()}
+    assert got == {(1, 0): (3, 5, 1.0), (1, 3): (2, 5, 1.0), (2, 0): (0, 2, 1.0), (4, 1): (0, 1, 1.0), (5, 2): (0, 5, 1.0), (6, 2): (1, 6, 1.0)}
+
+
 def test_decontamination_by_common_seeds(spark):
     """One whole copy must not make the seeds that many partial copies share too common."""
     words = [f"w{i}" for i in range(43)]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, mix64
+from .common import batch, mix64, small_batches
 
 BITS = 1 << 26
 PARTS = 256
@@ -51,3 +51,25 @@ def passes(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
     a, b = _slots(ids)
     hit = lambda s: (packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1
     return (hit(a) & hit(b)).astype(bool)
+
+
+def flagged(docs: DataFrame, flags: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: the rows that no flag can be meant for, as they are, and the
+    others with the columns of ``flags``, null where none is meant.
+
+    ``flags`` has one row for each (``__id``, ``__row``): an id and the xxhash64 of a text.
+    A bit filter tells the parts apart, so only rows that are flagged, and the few that the
+    filter lets by, are shuffled.
+    """
+    small_batches(docs.sparkSession)
+    key, row = docs[id_col].cast("long"), F.xxhash64(docs[text_col])
+    bits = bit_filter(flags.select(F.xxhash64("__id", "__row").alias("k")), "k")
+
+    @F.pandas_udf("boolean")
+    def maybe(k):
+        return k.__class__(passes(np.frombuffer(bits.value, np.uint8), k.to_numpy()))
+
+    some = maybe(F.xxhash64(key, row))
+    rest = docs.filter(~some)
+    met = docs.filter(some).join(flags, key.eqNullSafe(F.col("__id")) & (row == F.col("__row")), "left")
+    return rest, met

@@ -166,12 +166,19 @@ class FlatWords:
     """64-bit hashes of all words of a string column, without a Python object for any word.
 
     A word's hash is a polynomial of its bytes' values (A-Z as a-z), taken from prefix
-    sums over the column's buffer, and mixed with its length. ``chunks`` walks the column
-    in pieces of about ``size`` bytes. ``space`` tells the bytes that part words.
+    sums over the column's buffer, and mixed with its length. Words longer than ``PLAIN``
+    bytes, among which such polynomials have collisions that are easy to write down, take
+    xxh3 of their lower-cased bytes. ``chunks`` walks the column in pieces of about ``size``
+    bytes. ``space`` tells the bytes that part words.
     """
 
+    PLAIN = 24
+
     def __init__(self, size: int = 1 << 20, space: np.ndarray | None = None):
+        from xxhash import xxh3_64_intdigest
+
         worker_memory("words")
+        self.of = xxh3_64_intdigest
         self.size, self.values, self.space = size, _byte_values(), _SPACE if space is None else space
         self._powers(size)
 
@@ -216,8 +223,12 @@ class FlatWords:
         starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(after & ~space) + 1
         total = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(self.values[b] * self.up[: len(b)], out=total[1:])
+        size = ends - starts
         h = (total[ends] - total[starts]) * self.down[starts]
-        return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), np.searchsorted(starts, offsets)
+        h = mix64(h + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        for i in np.flatnonzero(size > self.PLAIN).tolist():
+            h[i] = self.of(b[starts[i] : ends[i]].tobytes().lower())
+        return h, np.searchsorted(starts, offsets)
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:

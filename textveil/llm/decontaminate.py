@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitfilter import bit_filter, passes
+from .bitfilter import bit_filter, flagged, passes
 from .common import FlatWords, batch, cut, runs, small_batches, table
 
 SEED = 4  # words
 MATCH, MISMATCH, GAP = 2, -1, -1
 SIMILAR = 0.4  # of the greatest score an item can have
-LEAST_WORDS = 8  # items with fewer words can't be told from chance and match only whole
+LEAST_WORDS = 8  # items with fewer words can't be told from chance and match only where they stand unchanged
 
 
 def separators() -> np.ndarray:
@@ -80,7 +80,20 @@ def _items():
     return run, "item long, words binary, seeds array<long>"
 
 
-def _passages(bits, margin: int):
+def _seeds(h: np.ndarray, begin: np.ndarray, lengths: list[int]):
+    """(places, seeds) of the runs of each length that lie within one row."""
+    where, seeds = [], []
+    row_end = np.repeat(begin[1:], np.diff(begin))
+    for k in lengths:
+        s = runs(h, k)
+        at = np.flatnonzero(np.arange(len(s)) + k <= row_end[: len(s)])
+        where.append(at)
+        seeds.append(s[at])
+    return np.concatenate(where), np.concatenate(seeds)
+
+
+def _passages(bits, margin: int, lengths: list[int]):
+    """``lengths`` are the seeds' own: ``SEED``, and the sizes of items with fewer words."""
     schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("words", pa.binary()), ("seeds", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -88,30 +101,19 @@ def _passages(bits, margin: int):
         for b in batches:
             out: list[list] = [[] for _ in schema]
             for first, h, begin in flat.chunks(b.column(1)):
-                s = runs(h, SEED)
-                hit = np.zeros(len(h), bool)
-                hit[: len(s)] = passes(packed, s.view(np.int64))
-                where = np.flatnonzero(hit)
-                row_of = np.searchsorted(begin, where, "right") - 1
-                where = where[where + SEED <= begin[row_of + 1]]
-                row_of = np.searchsorted(begin, where, "right") - 1
-                short = np.flatnonzero((np.diff(begin) > 0) & (np.diff(begin) < SEED))
-                for r in short.tolist():
-                    x = runs(h[begin[r] : begin[r + 1]], int(begin[r + 1] - begin[r]))
-                    if passes(packed, x.view(np.int64)).any():
-                        where, row_of = np.r_[where, begin[r]], np.r_[row_of, r]
+                where, seed = _seeds(h, begin, lengths)
+                hit = passes(packed, seed.view(np.int64))
+                where, seed = where[hit], seed[hit]
                 if not len(where):
                     continue
-                order = np.lexsort((where, row_of))
-                where, row_of = where[order], row_of[order]
-                new = np.r_[True, (row_of[1:] != row_of[:-1]) | (where[1:] - where[:-1] > margin)]
-                lo = np.flatnonzero(new)
+                order = np.argsort(where, kind="stable")
+                where, seed = where[order], seed[order].view(np.int64)
+                row_of = np.searchsorted(begin, where, "right") - 1
+                lo = np.flatnonzero(np.r_[True, (row_of[1:] != row_of[:-1]) | (where[1:] - where[:-1] > margin)])
                 for a, z in zip(lo.tolist(), np.r_[lo[1:], len(where)].tolist(), strict=True):
                     r = int(row_of[a])
                     start, end = max(int(begin[r]), int(where[a]) - margin), min(int(begin[r + 1]), int(where[z - 1]) + SEED + margin)
-                    size = int(begin[r + 1] - begin[r])
-                    seeds = np.unique(s[where[a:z]] if size >= SEED else runs(h[begin[r] : begin[r + 1]], size)).view(np.int64)
-                    for c, x in zip(out, (b.column(0)[first + r].as_py(), b.column(2)[first + r].as_py(), start - int(begin[r]), h[start:end].tobytes(), seeds), strict=True):
+                    for c, x in zip(out, (b.column(0)[first + r].as_py(), b.column(2)[first + r].as_py(), start - int(begin[r]), h[start:end].tobytes(), np.unique(seed[a:z])), strict=True):
                         c.append(x)
             yield batch(schema, **dict(zip(schema.names, out, strict=True)))
 
@@ -124,7 +126,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the greatest one possible; ``row`` is the text's xxhash64.
 
     Items and texts that are null or without a word match nothing; items of fewer than
-    ``LEAST_WORDS`` words match only where they stand unchanged. Rows that repeat give
+    ``LEAST_WORDS`` words match only where they stand unchanged, as part of a text or as all
+    of it. Rows that repeat give
     one result, as do repeated items. Null ids are kept.
     """
     spark = docs.sparkSession
@@ -135,7 +138,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     longest = items.agg(F.max(F.length("words"))).first()[0]
     seeds = cut(items.select("key", F.explode("seeds").alias("s")), "seeds")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("txt"), F.xxhash64(text_col).alias("row"))
-    run, schema = _passages(bit_filter(seeds, "s"), (longest or 0) // 8 * 5 // 4 + 8)
+    short = [r.n // 8 for r in items.select(F.length("words").alias("n")).filter(F.col("n") < 8 * SEED).distinct().collect()]
+    run, schema = _passages(bit_filter(seeds, "s"), (longest or 0) // 8 * 5 // 4 + 8, [*sorted(short), SEED])
     passages = rows.mapInArrow(run, schema).withColumn("pid", F.xxhash64("doc", "row", "at"))
     passages = cut(passages, "passages").dropDuplicates(["doc", "row", "at"])
     found = passages.select("pid", F.explode("seeds").alias("s"))
@@ -171,6 +175,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def contaminated_removed(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no item, with all their columns."""
+    """The rows of ``docs`` whose text holds no item, with all their columns; only rows that may go are moved."""
     bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("row").alias("__row")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__row")), "left_anti")
+    rest, met = flagged(docs, cut(bad.withColumn("__bad", F.lit(True)), "bad"), id_col, text_col)
+    return rest.unionByName(met.filter("__bad is null").select(docs.columns))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitfilter import bit_filter, passes
+from .bitfilter import bit_filter, flagged, passes
 from .common import FlatWords, batch, cut, lowered_words, shingle_sets, small_batches, table
 from .graph import connected
 
@@ -41,6 +41,7 @@ LEVEL = 7  # a count vector has 2**LEVEL coordinates at least, and one for 4 to
 BLOCK = 2048  # rows of a bucket that one task compares
 CLUSTER = 4_000_000  # shingles of a cluster that one task holds
 LEAF = 32
+LAST = (1 << 63) - 1  # the rank of rows with a null id
 SMALL = 8  # rows up to which a bucket's pairs are compared directly
 HOT_MAX = 1 << 16  # frequent shingles that order prefixes; only the order depends on them
 CHUNK = 4096  # texts over which a task counts frequent shingles
@@ -57,7 +58,7 @@ def prefix_len(n: int, num: int, den: int) -> int:
 
 
 def _first_pass(k: int):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("hot", pa.bool_())])
+    schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("hot", pa.bool_())])
 
     def frequent(held: list[np.ndarray]):
         if len(held) < 64:
@@ -65,7 +66,7 @@ def _first_pass(k: int):
         u, c = np.unique(np.concatenate(held), return_counts=True)
         keep = c >= max(4, len(held) // 1024)
         u, c = u[keep].view(np.int64), c[keep]
-        return batch(schema, doc=pa.nulls(len(u), pa.int64()), n=pa.array(c, pa.int64()), node=pa.array(u), hot=pa.array(np.ones(len(u), bool))) if len(u) else None
+        return batch(schema, doc=pa.nulls(len(u), pa.int64()), row=pa.nulls(len(u), pa.int64()), n=pa.array(c, pa.int64()), node=pa.array(u), hot=pa.array(np.ones(len(u), bool))) if len(u) else None
 
     def run(batches):
         words, held = FlatWords(), []
@@ -76,7 +77,7 @@ def _first_pass(k: int):
                 node.append(digest(s) if len(s) else None)
                 if len(s):
                     held.append(s)
-            yield batch(schema, doc=b.column(0), n=n, node=node, hot=[False] * len(n))
+            yield batch(schema, doc=b.column(0), row=b.column(2), n=n, node=node, hot=[False] * len(n))
             if len(held) >= CHUNK:
                 if (out := frequent(held)) is not None:
                     yield out
@@ -84,7 +85,7 @@ def _first_pass(k: int):
         if held and (out := frequent(held)) is not None:
             yield out
 
-    return run, "doc long, n long, node long, hot boolean"
+    return run, "doc long, row long, n long, node long, hot boolean"
 
 
 def level(n: int) -> int:
@@ -389,14 +390,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Repeated rows stay; equal texts always share a component. Other columns are
     not read, whatever their names.
     """
+    rows, named = _components(docs, id_col, text_col, k, num, den)
+    out = rows.join(named, "node", "left")
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, row, n, node) of each input row, ``row`` being the text's xxhash64, and
+    (node, comp, least) with the least id of each component."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("txt"))
     run, schema = _first_pass(k)
-    first = cut(docs.mapInArrow(run, schema), "first")
+    first = cut(docs.select("doc", "txt", F.xxhash64("txt").alias("row")).mapInArrow(run, schema), "first")
     hot = first.filter("hot").groupBy("node").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "node").limit(HOT_MAX).select("node").collect()
     hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64)).tobytes())
-    rows = first.filter("not hot").select("doc", "n", "node")
+    rows = first.filter("not hot").select("doc", "row", "n", "node")
     reps = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc").alias("label"), F.max("n").alias("n")), "nodes")
 
     run, schema = _prefixes(k, num, den, hot)
@@ -418,9 +427,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     named = reps.join(comps, "node", "left").select("node", "label", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("label").alias("least"))
-    named = cut(named.join(cut(least, "least"), "comp").select("node", "least"), "named")
-    out = rows.join(named, "node", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
+    return rows, cut(named.join(cut(least, "least"), "comp").select("node", "comp", "least"), "named")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -428,16 +435,30 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but for those whose component has a row with a smaller id.
+    """One row of each component of ``docs`` stays: the one with the smallest id, of equal
+    ids that with the smallest hash of its text; null ids come last.
 
-    Rows that repeat an id with the same text collapse to one; rows with a null id
-    stay unless a row with an id has a linked text.
+    A row is its id and text; rows that repeat both collapse to one. Texts without a word
+    are components of their own. All other rows stay as they are, and only the rows that
+    may go are moved.
     """
-    comp = jaccard_components(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("component_id").alias("__comp"))
-    drop = comp.filter("__comp < __id").select("__id").distinct()
-    kept = docs.join(drop, docs[id_col] == drop["__id"], "left_anti")
-    named = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
-    return named.unionByName(kept.filter(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    rows, named = _components(docs, id_col, text_col, 5, 80, 100)
+    rows = rows.join(named.select("node", "comp"), "node", "left").groupBy("doc", "row").agg(F.first("comp").alias("comp"), F.count("*").alias("times"))
+    rows = cut(rows, "rows")
+    first = rows.filter("comp is not null").groupBy("comp").agg(F.min(F.coalesce("doc", F.lit(LAST))).alias("doc"))
+    met = rows.filter("comp is not null").select("comp", F.coalesce("doc", F.lit(LAST)).alias("doc"), "row").join(first, ["comp", "doc"])
+    first = cut(met.groupBy("comp").agg(F.first("doc").alias("first_doc"), F.min("row").alias("first_row")), "first")
+    flags = rows.join(first, "comp", "left").select(
+        F.col("doc").alias("__id"),
+        F.col("row").alias("__row"),
+        (F.coalesce("doc", F.lit(LAST)) != F.col("first_doc")) | (F.col("row") != F.col("first_row")),
+        "times",
+    )
+    flags = flags.toDF("__id", "__row", "__goes", "__times").withColumn("__goes", F.coalesce("__goes", F.lit(False))).filter("__goes or __times > 1")
+    rest, some = flagged(docs, cut(flags, "flags"), id_col, text_col)
+    some = some.filter(~F.coalesce("__goes", F.lit(False)))
+    once, again = some.filter("__times is null or __times = 1"), some.filter("__times > 1")
+    return rest.unionByName(once.select(docs.columns)).unionByName(again.dropDuplicates(["__id", "__row"]).select(docs.columns))
 
 
 def brute_components(rows: list[tuple], k: int = 5, num: int = 80, den: int = 100) -> list[tuple]:

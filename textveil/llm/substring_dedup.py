@@ -22,11 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitfilter import bit_filter, passes
+from .bitfilter import bit_filter, flagged, passes
 from .common import batch, cut, encoded, small_batches, table, worker_memory
 
 MIN_WORDS = 8
-LAST = (1 << 63) - 1  # the rank of rows with a null id
+LAST = (1 << 63) - 1  # stands for a null id: such rows rank last
+SPREAD = 1 << 62
+
+
+def ranked(doc: str, row: str):
+    """The rank of an occurrence as one number: by id, then by the hash of its text."""
+    return F.col(doc).cast("decimal(19,0)") * F.lit(SPREAD).cast("decimal(19,0)") + F.pmod(F.col(row), F.lit(SPREAD)).cast("decimal(19,0)")
 
 
 #: Scripts that put no blanks between words, and those of them that part phrases by blanks.
@@ -157,20 +163,21 @@ def _digests(text: str | None):
 
 
 def _all_units():
-    schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc", pa.int64())])
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc", pa.int64()), ("row", pa.int64())])
 
     def run(batches):
         worker_memory("units")
         for b in batches:
-            hs, gs, ds = [], [], []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            hs, gs, ds, rs = [], [], [], []
+            for doc, t, row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 _, _, h, g = _digests(t)
                 hs += h
                 gs += g
                 ds += [doc] * len(h)
-            yield batch(schema, h=hs, g=gs, doc=ds)
+                rs += [row] * len(h)
+            yield batch(schema, h=hs, g=gs, doc=ds, row=rs)
 
-    return run, "h long, g long, doc long"
+    return run, "h long, g long, doc long, row long"
 
 
 def _repeated_units(bits):
@@ -226,17 +233,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc long, row long, spans array<struct<start, end, first_doc>>) of the texts that lose
     a unit; ``row`` is the text's xxhash64.
 
-    Ids rank occurrences, null ids last. Rows that repeat an id and its text are one
-    document and lose the same units. Null and empty texts have none.
+    Ids rank occurrences, null ids last, and under one id the hashes of the texts do; what
+    the first of them has is removed from all others. Rows that repeat an id and its text
+    are one document and lose the same units. Null and empty texts have none. ``first_doc``
+    is null where the first occurrence has no id.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("txt"), F.xxhash64(text_col).alias("row"))
     run, schema = _all_units()
-    groups = rows.select("doc", "txt").mapInArrow(run, schema).groupBy("h", "g").agg(F.min("doc").alias("first_doc"), F.count("*").alias("c"))
-    groups = cut(groups.filter("c > 1").select("h", "g", "first_doc"), "units")
+    met = rows.mapInArrow(run, schema).select("h", "g", ranked("doc", "row").alias("rank"))
+    groups = met.groupBy("h", "g").agg(F.min("rank").alias("first"), F.count("*").alias("c"))
+    groups = cut(groups.filter("c > 1").select("h", "g", "first"), "units")
     run, schema = _repeated_units(bit_filter(groups, "h"))
-    lost = rows.select("doc", "txt", "row").mapInArrow(run, schema).join(groups, ["h", "g"]).filter("doc > first_doc or nth > 0")
+    lost = rows.mapInArrow(run, schema).join(groups, ["h", "g"]).filter((ranked("doc", "row") > F.col("first")) | (F.col("nth") > 0))
+    spread = F.lit(SPREAD).cast("decimal(19,0)")
+    lost = lost.withColumn("spread", spread).withColumn("first", F.col("first") - F.pmod(F.col("first"), spread))
+    lost = lost.withColumn("first_doc", F.nullif(F.expr("first div spread"), F.lit(LAST)))
     return lost.groupBy("doc", "row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc"))).alias("spans"))
 
 
@@ -244,16 +257,21 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with the repeated units cut out of the text, and ``removed_spans``.
 
     Every row stays, with all its columns, but for ``changed_only``; a text may become empty.
+    Only rows that may change are moved.
     """
-    spans = repeated_spans(docs, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("spans").alias("removed_spans"))
-    key = (F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == F.col("__doc")) & (F.xxhash64(docs[text_col]) == F.col("__row"))
+    spans = repeated_spans(docs, id_col, text_col).select(F.nullif("doc", F.lit(LAST)).alias("__id"), F.col("row").alias("__row"), F.col("spans").alias("removed_spans"))
+    spans = cut(spans, "spans")
 
     @F.pandas_udf("string")
     def cut_text(text, spans):
         return text.combine(spans, lambda t, s: t if t is None or s is None else cut_out(t, [(x["start"], x["end"]) for x in s]))
 
-    out = docs.join(spans, key, "inner" if changed_only else "left")
-    return out.withColumn(text_col, F.when(F.col("removed_spans").isNull(), F.col(text_col)).otherwise(cut_text(F.col(text_col), F.col("removed_spans")))).drop("__doc", "__row")
+    rest, met = flagged(docs, spans, id_col, text_col)
+    changed = F.when(F.col("removed_spans").isNull(), F.col(text_col)).otherwise(cut_text(F.col(text_col), F.col("removed_spans")))
+    met = met.withColumn(text_col, changed).drop("__id", "__row")
+    if changed_only:
+        return met.filter("removed_spans is not null")
+    return rest.withColumn("removed_spans", F.lit(None).cast(met.schema["removed_spans"].dataType)).unionByName(met)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,12 +289,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brute_spans(rows: list[tuple]) -> dict:
-    """{id: [(start, end, first id)]} by a plain walk over all units in rank order; for tests."""
+    """{(id, text): [(start, end, first id)]} by a plain walk over all units in rank order; for tests."""
+    from xxhash import xxh64_intdigest
+
     first: dict = {}
     out: dict = {}
-    for doc, text in sorted(rows, key=lambda r: LAST if r[0] is None else r[0]):
+    for doc, text in sorted(set(rows), key=lambda r: (LAST if r[0] is None else r[0], xxh64_intdigest(encoded(r[1] or ""), 42) % SPREAD)):
         for a, b, t in all_units(text):
-            have = first.setdefault(t, doc)
-            if have != doc or a >= first.setdefault((t, doc), b):
-                out.setdefault(doc, []).append((a, b, have))
+            have = first.setdefault(t, (doc, text))
+            if have != (doc, text) or a >= first.setdefault((t, doc, text), b):
+                out.setdefault((doc, text), []).append((a, b, have[0]))
     return out
