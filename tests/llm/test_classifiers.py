@@ -73,14 +73,15 @@ def test_language(spark):
     rng = random.Random(9)
     other = ["queja", "ción", "mente", "osdo", "lleña", "rrue"]
     rows = [(i, " ".join(rng.choices(WORDS if i % 2 else other, k=rng.randrange(5, 150))), "en" if i % 2 else "es", "s") for i in range(300)]
-    rows += [(900, None, "en", None), (901, "", "en", None), (902, "12 34 !?", "en", None), (903, "the of and", None, None), (904, "mente ción " * 8000, "es", None), (None, "the and of that", "en", None)]
+    rows += [(900, None, "en", None), (901, "", "en", None), (902, "12 34 !?", "en", None), (903, "the of and", None, None), (904, "mente ción " * 8000, "es", None), (905, "² ½ ① Ⅳ ٣", "en", None), (906, "_ __ \u0301", "en", None), (907, "² ʰ", "en", None), (None, "the and of that", "en", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     got = lang_cnn.predict(docs, lang_cnn.learn(docs)).collect()
     by = {r.doc_id: r for r in got}
     held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 900]
     assert len(got) == len(rows) and len(held) > 40
     assert sum(r.lang_pred == ("en" if r.doc_id % 2 else "es") for r in held) / len(held) > 0.97
-    assert [(by[i].lang_pred, by[i].score) for i in (900, 901, 902)] == [("und", 0.0)] * 3
+    assert [(by[i].lang_pred, by[i].score) for i in (900, 901, 902, 905, 906)] == [("und", 0.0)] * 5
+    assert by[907].lang_pred != "und"
     assert by[903].lang_pred == "en" and by[904].lang_pred == "es" and all(0 <= r.score <= 1 for r in got)
     assert lang_cnn.predict(docs, lang_cnn.learn(docs.limit(0))).filter("lang_pred != 'und'").count() == 0
 
@@ -91,3 +92,11 @@ def test_tables_equal_the_network():
     x = rng.integers(0, 256, (20, lang_cnn.WINDOW)).astype(np.uint8)
     loss, _ = net.step(x, np.zeros(20, np.int64))
     assert abs(-lang_cnn.Reader(net.langs, net.p).log_probs(x)[:, 0].mean() - loss) < 1e-3
+
+
+def test_every_language_is_learned(spark):
+    """No language is left out for being one of many."""
+    signs = [chr(0x4E00 + 40 * i) + chr(0x4E01 + 40 * i) for i in range(300)]
+    rows = [(i * 20 + j, signs[i] * (3 + j), f"l{i}") for i in range(300) for j in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(lang_cnn.learn(docs).langs) == {f"l{i}" for i in range(300)}

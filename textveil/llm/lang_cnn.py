@@ -25,10 +25,14 @@ EMBED = 8
 FILTERS = 16
 WIDTHS = (2, 3, 4)
 PER_LANG = 1_000  # texts of a language to fit on, about
-LANGS = 256  # languages learned at most, the most frequent ones
+ALL_LANGS = 50_000  # texts to fit on over all languages, about; each of very many has fewer, but 10 at least
 EACH = 3  # windows of a text to fit on
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")  # letters, and signs of numbers such as a half
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 def windows(text: str) -> np.ndarray:
@@ -135,7 +139,7 @@ class Reader:
     def predict(self, texts: list[str | None], most: int = 256):
         """(language, probability) of each text, ``most`` windows at a time."""
         out: list = [(UNKNOWN, 0.0)] * len(texts)
-        which = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        which = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if not which or not self.langs:
             return out
         cut = [windows(texts[i]) for i in which]
@@ -164,13 +168,13 @@ def learn(docs: DataFrame, k: int = 4, held: int = 2, id_col: str = "doc_id", te
     small_batches(spark)
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("txt"), F.col(lang_col).cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & (fold_col(F.col("id"), k) != held))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
-    langs = sorted(counts)
-    if not langs:
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
         return Network([])
-    shares = F.create_map(*[F.lit(x) for g in langs for x in (g, PER_LANG / counts[g])])
+    wanted = max(10, min(PER_LANG, ALL_LANGS // len(counts)))
+    shares = spark.createDataFrame([(g, wanted / n) for g, n in sorted(counts.items())], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.filter(F.col("lang").isin(langs)).filter(draw < F.element_at(shares, F.col("lang"))).filter("txt is not null and length(txt) > 0")
+    chosen = known.filter("txt is not null and length(txt) > 0").join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("id", "txt", "lang")
     schema = pa.schema([("lang", pa.string()), ("w", pa.binary())])
 
     def run(batches):
@@ -179,7 +183,7 @@ def learn(docs: DataFrame, k: int = 4, held: int = 2, id_col: str = "doc_id", te
         for b in batches:
             lang, out = [], []
             for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if _LETTER.search(t):
+                if has_letter(t):
                     w = windows(t)
                     for i in sorted({(xxh3_64_intdigest(encoded(t)) + j * 7919) % len(w) for j in range(EACH)}):
                         lang.append(g)
