@@ -80,9 +80,9 @@ def test_connected(spark):
 def brute_top(rows, k):
     good = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in good:
+    for m, (q, a) in enumerate(good):
         if q % 2 == 0:
-            s = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b))
+            s = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for n, (i, b) in enumerate(good) if n != m and len(a) == len(b))
             out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:k])]
     return sorted(out)
 
@@ -99,22 +99,52 @@ def test_top_k_equals_brute_force(spark):
 
 
 def test_top_k_over_shards_and_great_numbers(spark, monkeypatch):
-    monkeypatch.setattr(ball_tree, "SHARD", 40)
-    monkeypatch.setattr(ball_tree, "BLOCK", 30)
+    monkeypatch.setattr(ball_tree, "LEAST_SHARD", 12)
+    monkeypatch.setattr(ball_tree, "PIVOTS", 7)
+    monkeypatch.setattr(ball_tree, "ROUNDS", (1, 3))
+    monkeypatch.setattr(ball_tree, "BLOCK", 5)
     monkeypatch.setattr(ball_tree, "LEAF", 4)
-    monkeypatch.setattr(ball_tree, "SEED", 8)
     rng = np.random.default_rng(4)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=3) * (1e5 if i % 7 == 0 else 1)]) for i in range(200)]
+    rows += [(400 + i, rows[14][1]) for i in range(60)] + [(500, [0.0] * 3)]  # one hot vector
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in ball_tree.top_k(df, F.col("vec_id") % 2 == 0).collect()) == brute_top(rows, 5)
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Rows that repeat an id are candidates for each other, and each has its own ranks."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [2.0, 1.0]), (3, [1.0, 3.0]), (5, [-1.0, 0.5])]
+    got = sorted(map(tuple, ball_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()))
+    assert got == brute_top(rows, 5) and len(got) == 15 and sum(r[1] == 1 for r in got) == 3
+
+
+def test_later_rounds_ask_less(spark, monkeypatch):
+    """Cells whose bound is under the k-th score shared after a round aren't asked."""
+    monkeypatch.setattr(ball_tree, "LEAST_SHARD", 20)
+    rng = np.random.default_rng(6)
+    middles = rng.normal(0, 40, (12, 4))
+    rows = [(i, [float(x) for x in rng.normal(middles[i % 12], 0.2)]) for i in range(600)]
+    asked = []
+    of = ball_tree._asked
+    monkeypatch.setattr(ball_tree, "_asked", lambda *a: asked.append(a[1:]) or of(*a))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in ball_tree.top_k(df, F.col("vec_id") % 2 == 0).collect()) == brute_top(rows, 5)
+    assert asked[0] == (0, 1) and asked[-1][1] is None
+    v = np.floor(256 * np.array([v for _, v in rows]))
+    cells = ball_tree.Cells({4: v[:12]})
+    near, far = cells.nearest(v)
+    cells.radius, cells.shards = {4: np.array([far[near == c].max() for c in range(12)])}, {4: np.ones(12, int)}
+    kth = np.sort(v @ v.T, 1)[:, -6]
+    assert ((cells.bounds(v) >= kth[:, None]).sum(1) < 6).mean() > 0.8
+
+
 def test_tree_visits_fewer_leaves():
     rng = np.random.default_rng(5)
     v = np.concatenate([rng.normal(c, 0.1, (400, 8)) for c in (-9, 0, 9)]) * 256
     v = np.floor(v)
     best = ball_tree.Best(50, 5, np.full(50, np.iinfo(np.int64).min))
-    visits = ball_tree.BallTree(v, np.arange(len(v))).search(v[-50:], np.full(50, -1), best)
+    tree = ball_tree.BallTree.unpacked(ball_tree.BallTree(v, np.arange(len(v)), np.arange(len(v))).packed())
+    visits = tree.search(v[-50:], np.full(50, -1), best)
     assert visits < 50 * len(v) / ball_tree.LEAF / 2
     want = np.sort(v[-50:] @ v.T, 1)[:, ::-1][:, :5]
     assert (best.s == want).all()
