@@ -205,12 +205,14 @@ class FlatWords:
         lo = 0
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + self.size, "right")) - 1)
-            yield lo, *self._words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            yield lo, *self.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[:2]
             lo = hi
 
-    def _words(self, b: np.ndarray, offsets: np.ndarray):
+    def words(self, b: np.ndarray, offsets: np.ndarray):
+        """(hashes, begin, starts, ends) of the words of some bytes that hold texts at these offsets."""
         if not len(b):
-            return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+            none = np.empty(0, np.int64)
+            return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
         if len(b) > len(self.up):
             self._powers(len(b))
         space = self.space[b]
@@ -228,7 +230,7 @@ class FlatWords:
         h = mix64(h + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         for i in np.flatnonzero(size > self.PLAIN).tolist():
             h[i] = self.of(b[starts[i] : ends[i]].tobytes().lower())
-        return h, np.searchsorted(starts, offsets)
+        return h, np.searchsorted(starts, offsets), starts, ends
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:
