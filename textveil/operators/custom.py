@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.spans import MEDIUM, candidates, span
+from ..functions.spans import MEDIUM, candidates, in_windows, span
 
 REPEAT = 4096  # most repetitions of + and *
 # Bytes of the classes.
@@ -38,9 +38,9 @@ def _set(body: bytes, negated: bool) -> str:
     return f"[{'^' * negated}{''.join(parts)}]"
 
 
-def to_java_regex(pattern: str) -> str | None:
-    """The regex of a pattern, or None if a class isn't closed or nothing is left."""
-    p, out, i = pattern.encode(), [], 0
+def to_java_regex(pattern: str) -> tuple[str, int] | None:
+    """(regex, most bytes that a match takes), or None if a class isn't closed or nothing is left."""
+    p, out, i, reach = pattern.encode(), [], 0, 0
     while i < len(p):
         c = p[i : i + 1].decode("latin-1")
         if c in "^$":
@@ -62,23 +62,26 @@ def to_java_regex(pattern: str) -> str | None:
             atom, i = _set(p[begin:end], negated), end + 1
         else:
             atom, i = _byte(p[i]), i + 1
+        reach += 1
         if i < len(p) and p[i : i + 1] in b"+*?":
+            reach += REPEAT - 1 if p[i] != ord("?") else 0
             atom += {"+": f"{{1,{REPEAT}}}+", "*": f"{{0,{REPEAT}}}+", "?": "?+"}[chr(p[i])]
             i += 1
         out.append(atom)
-    return "".join(out) or None
+    return ("".join(out), reach) if out else None
 
 
 def custom(pattern: str):
     """A column builder for the pattern, or None if it doesn't compile."""
-    regex = to_java_regex(pattern)
-    if regex is None:
+    compiled = to_java_regex(pattern)
+    if compiled is None:
         return None
+    regex, reach = compiled
+    boundary = "(?![\\x80-\\xBF])"
 
-    def build(b: Column) -> Column:
-        boundary = "(?![\\x80-\\xBF])"
-        found = candidates(b, boundary, f"{regex}{boundary}")
-        some = F.filter(found, lambda c: F.length(c["text"]) > 0)
+    def find(v: Column) -> Column:
+        some = F.filter(candidates(v, boundary, f"{regex}{boundary}"), lambda c: F.length(c["text"]) > 0)
         return F.transform(some, lambda c: span(c["start"], c["start"] + F.length(c["text"]), MEDIUM))
 
-    return build
+    # the byte after a match is looked at too
+    return lambda b: in_windows(b, reach + 1, find)

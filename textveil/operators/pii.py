@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.spans import HIGH, MEDIUM, candidates, greedy, matches, no_spans, span
+from ..functions.spans import HIGH, MEDIUM, bound, candidates, greedy, in_windows, matches, no_spans, span
 
 ALNUM = "0-9A-Za-z"
 NOT_AFTER_WORD = f"(?<![{ALNUM}])"
@@ -86,8 +86,13 @@ def ipv6(b: Column, strict: bool = False) -> Column:
 def credit_card(b: Column) -> Column:
     """13 to 19 digits with blanks or dashes that pass the Luhn check, no letter or digit after them."""
     found = _trimmed(candidates(b, NOT_AFTER_WORD, f"[0-9][0-9 -]{{0,{CARD_WINDOW - 1}}}+"), "[^0-9]++")
-    ok = F.filter(found, lambda c: F.length(_digits(c["text"])).between(13, 19) & F.call_function("luhn_check", _digits(c["text"])) & ~F.substring(b, _end(c) + 1, F.lit(1)).rlike(f"[{ALNUM}]"))
-    return gated(b.rlike("[0-9](?:[ -]*+[0-9]){12}"), greedy(F.transform(ok, lambda c: span(c["start"], _end(c), HIGH))))
+
+    def checked(raw):
+        free = lambda c: ~F.substring(raw, _end(c) + 1, F.lit(1)).cast("string").rlike(f"[{ALNUM}]")
+        ok = F.filter(found, lambda c: F.length(_digits(c["text"])).between(13, 19) & F.call_function("luhn_check", _digits(c["text"])) & free(c))
+        return F.transform(ok, lambda c: span(c["start"], _end(c), HIGH))
+
+    return gated(b.rlike("[0-9](?:[ -]*+[0-9]){12}"), greedy(bound(F.encode(b, "ISO-8859-1"), checked)))
 
 
 def ssn(b: Column) -> Column:
@@ -99,8 +104,11 @@ def path(b: Column) -> Column:
     """Absolute, relative, home and drive paths of 4 bytes and two separators at least."""
     lead = "(?<![^ \\t\\n\\f\\r=\"'])"
     start = rf"(?:(?<![{ALNUM}:])(?=/)|{lead}(?=\.\.?/|~/)|{NOT_AFTER_WORD}(?=[A-Za-z]:\\))"
-    found = _trimmed(candidates(b, start, rf"[A-Za-z0-9/\\._~:-]{{1,{PATH_WINDOW}}}+"), r"[/\\.]++")
     slashes = lambda c: F.length(F.regexp_replace(c["text"], r"[^/\\]++", ""))
-    ok = F.filter(found, lambda c: (F.length(c["text"]) >= 4) & (slashes(c) >= 2))
-    spans = F.transform(ok, lambda c: span(c["start"], _end(c), F.when(slashes(c) >= 3, HIGH).otherwise(MEDIUM)))
-    return gated(b.rlike(r"[/\\]"), greedy(spans))
+
+    def find(v):
+        found = _trimmed(candidates(v, start, rf"[A-Za-z0-9/\\._~:-]{{1,{PATH_WINDOW}}}+"), r"[/\\.]++")
+        ok = F.filter(found, lambda c: (F.length(c["text"]) >= 4) & (slashes(c) >= 2))
+        return F.transform(ok, lambda c: span(c["start"], _end(c), F.when(slashes(c) >= 3, HIGH).otherwise(MEDIUM)))
+
+    return gated(b.rlike(r"[/\\]"), greedy(in_windows(b, PATH_WINDOW, find)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytesview import from_bytes_view, literal_view, to_bytes_view
-from ..functions.spans import CONFIDENCE, line_number, masked_sample, replaced
+from ..functions.bytesview import to_bytes_view
+from ..functions.spans import CONFIDENCE, described, replaced
 from .registry import Registry, build_registry
 
 PROCESSED, SKIPPED, ERROR = "processed", "skipped", "error"
@@ -27,11 +27,10 @@ def scan(df: DataFrame, text_col: str = "text", registry: Registry | None = None
 
 def findings(df: DataFrame, key_cols: list[str], text_col: str = "text", registry: Registry | None = None) -> DataFrame:
     """One row per finding: keys, pos, detector, category, start_byte, end_byte, confidence,
-    masked_sample, line. Matched text isn't among them."""
+    masked_sample, line. Matched text isn't among them, and no text is copied to its findings."""
     registry = registry or build_registry()
     rows = scan(df.select(*key_cols, text_col), text_col, registry).filter(F.size("merged") > 0)
-    rows = rows.select(*key_cols, "view", F.posexplode("merged").alias("pos", "f"))
-    matched = F.substring("view", F.col("f.start") + 1, F.col("f.end") - F.col("f.start"))
+    rows = rows.select(*key_cols, F.posexplode(described(F.encode(F.col(text_col), "UTF-8"), F.col("merged"))).alias("pos", "f"))
     return rows.select(
         *key_cols,
         F.col("pos").cast("long").alias("pos"),
@@ -40,8 +39,8 @@ def findings(df: DataFrame, key_cols: list[str], text_col: str = "text", registr
         F.col("f.start").cast("long").alias("start_byte"),
         F.col("f.end").cast("long").alias("end_byte"),
         _confidence(F.col("f.conf")).alias("confidence"),
-        masked_sample(from_bytes_view(matched), F.length(matched)).alias("masked_sample"),
-        line_number(F.col("view"), F.col("f.start")).cast("long").alias("line"),
+        F.col("f.sample").alias("masked_sample"),
+        F.col("f.line").cast("long").alias("line"),
     )
 
 
@@ -54,12 +53,16 @@ def raw_findings(df: DataFrame, key_cols: list[str], name: str, text_col: str =
     return rows.select(*key_cols, F.lit(detector.name).alias("detector"), F.lit(detector.category).alias("category"), F.col("f.start").cast("long").alias("start_byte"), F.col("f.end").cast("long").alias("end_byte"), _confidence(F.col("f.conf")).alias("confidence"))
 
 
+#: Fixed value: what stands for a finding of a detector when no replacement is given.
+MARKER = "[REDACTED:{}]"
+
+
 def marker_of(registry: Registry, replacement: str | None):
-    """The replacement of a finding in the byte view: a fixed text for all, or the detector's name."""
+    """The replacement of a finding: a fixed text for all, or one with the detector's name."""
     if replacement is not None:
-        fixed = F.lit(literal_view(replacement))
+        fixed = F.lit(replacement)
         return lambda f: fixed
-    named = F.array(*[F.lit(f"[REDACTED:{literal_view(n)}]") for n in registry.names]) if registry.names else F.array(F.lit(""))
+    named = F.array(*[F.lit(MARKER.format(n)) for n in registry.names]) if registry.names else F.array(F.lit(""))
     return lambda f: F.get(named, f["det"])
 
 
@@ -67,7 +70,7 @@ def mask(df: DataFrame, text_col: str = "text", registry: Registry | None = None
     """``df`` with the masked text and ``findings_count``; texts without findings pass unchanged."""
     registry = registry or build_registry()
     rows = scan(df, text_col, registry)
-    masked = from_bytes_view(replaced(F.col("view"), F.col("merged"), marker_of(registry, replacement)))
+    masked = replaced(F.encode(F.col(text_col), "UTF-8"), F.col("merged"), marker_of(registry, replacement))
     out = F.when(F.size("merged") > 0, masked).otherwise(F.col(text_col))
     return rows.withColumn(out_col, out).withColumn("findings_count", F.greatest(F.coalesce(F.size("merged"), F.lit(0)), F.lit(0)).cast("long")).drop("view", "merged")
 
@@ -84,12 +87,12 @@ def results(df: DataFrame, path_col: str, text_col: str = "text", registry: Regi
     rows = scan(df.withColumn("__text", text), "__text", registry)
 
     def report(f):
-        matched = F.substring(F.col("view"), f["start"] + 1, f["end"] - f["start"])
-        return F.struct(registry.name_of(f["det"]).alias("detector"), registry.category_of(f["det"]).alias("category"), _confidence(f["conf"]).alias("confidence"), masked_sample(from_bytes_view(matched), F.length(matched)).alias("masked_sample"), line_number(F.col("view"), f["start"]).alias("line"))
+        return F.struct(registry.name_of(f["det"]).alias("detector"), registry.category_of(f["det"]).alias("category"), _confidence(f["conf"]).alias("confidence"), f["sample"].alias("masked_sample"), f["line"].alias("line"))
 
-    masked = F.when(F.size("merged") > 0, from_bytes_view(replaced(F.col("view"), F.col("merged"), marker_of(registry, replacement)))).otherwise(F.col("__text"))
+    raw = F.encode(F.col("__text"), "UTF-8")
+    masked = F.when(F.size("merged") > 0, replaced(raw, F.col("merged"), marker_of(registry, replacement))).otherwise(F.col("__text"))
     some = F.coalesce(F.col("merged"), F.array().cast("array<struct<start:int,end:int,det:int,conf:tinyint>>"))
-    return rows.withColumn("findings", F.transform(some, report)).withColumn("masked", masked).withColumn("findings_count", F.size(some).cast("long")).drop("view", "merged", "__text")
+    return rows.withColumn("findings", F.transform(described(raw, some), report)).withColumn("masked", masked).withColumn("findings_count", F.size(some).cast("long")).drop("view", "merged", "__text")
 
 
 def findings_by_type(found: DataFrame, order_cols: list[str]) -> DataFrame:
