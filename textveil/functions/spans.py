@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 LOW, MEDIUM, HIGH = 0, 1, 2
 CONFIDENCE = ("low", "medium", "high")
 SPANS = "array<struct<start:int,end:int,conf:tinyint>>"
-PIECE = 4096  # starts of a window at least
+PIECE = 16_384  # starts of a window at least
 MERGED = "array<struct<start:int,end:int,det:int,conf:tinyint>>"
 
 
@@ -181,11 +181,11 @@ def merge(sorted_spans: Column) -> Column:
     return _unpacked(merged, {"start": "int", "end": "int", "det": "int", "conf": "tinyint"})
 
 
-def replaced(raw: Column, merged: Column, marker) -> Column:
-    """The text of UTF-8 bytes with each span replaced; ``marker`` maps a span to its replacement.
-    Bytes are cut out, not characters: a cut of characters walks from the text's beginning."""
+def replaced(text: Column, merged: Column, marker) -> Column:
+    """The text with each span replaced; ``marker`` maps a span to its replacement. Bytes are
+    cut out, not characters: a cut of characters walks from the text's beginning."""
 
-    def build(m):
+    def build(raw, m):
         def piece(f, i):
             before = F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1)["end"])
             return F.concat(F.substring(raw, before + 1, f["start"] - before).cast("string"), marker(f))
@@ -194,13 +194,14 @@ def replaced(raw: Column, merged: Column, marker) -> Column:
         tail = F.substring(raw, at + 1, F.octet_length(raw) - at).cast("string")
         return F.decode(F.concat(F.array_join(F.transform(m, piece), ""), tail).cast("binary"), "UTF-8")
 
-    return bound(merged, lambda m: F.when(F.size(m) == 0, raw.cast("string")).otherwise(build(m)))
+    whole = lambda m: F.when(F.size(m) == 0, text).otherwise(bound(F.encode(text, "UTF-8"), lambda raw: build(raw, m)))
+    return bound(merged, whole)
 
 
-def described(raw: Column, merged: Column) -> Column:
-    """The merged spans of UTF-8 bytes with ``sample`` and ``line`` in their structs."""
+def described(text: Column, merged: Column) -> Column:
+    """The merged spans of a text with ``sample`` and ``line`` in their structs."""
 
-    def build(m):
+    def build(raw, m):
         def breaks(f, i):
             before = F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1)["start"])
             gap = F.substring(raw, before + 1, f["start"] - before).cast("string")
@@ -214,7 +215,8 @@ def described(raw: Column, merged: Column) -> Column:
 
         return F.zip_with(m, running_sums(F.transform(m, breaks), 1), row)
 
-    return bound(merged, build)
+    # bound, or the text would be encoded anew for each span
+    return bound(F.encode(text, "UTF-8"), lambda raw: bound(merged, lambda m: build(raw, m)))
 
 
 def from_view_head(head: Column) -> Column:

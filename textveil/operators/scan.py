@@ -30,7 +30,7 @@ def findings(df: DataFrame, key_cols: list[str], text_col: str = "text", registr
     masked_sample, line. Matched text isn't among them, and no text is copied to its findings."""
     registry = registry or build_registry()
     rows = scan(df.select(*key_cols, text_col), text_col, registry).filter(F.size("merged") > 0)
-    rows = rows.select(*key_cols, F.posexplode(described(F.encode(F.col(text_col), "UTF-8"), F.col("merged"))).alias("pos", "f"))
+    rows = rows.select(*key_cols, F.posexplode(described(F.col(text_col), F.col("merged"))).alias("pos", "f"))
     return rows.select(
         *key_cols,
         F.col("pos").cast("long").alias("pos"),
@@ -70,7 +70,7 @@ def mask(df: DataFrame, text_col: str = "text", registry: Registry | None = None
     """``df`` with the masked text and ``findings_count``; texts without findings pass unchanged."""
     registry = registry or build_registry()
     rows = scan(df, text_col, registry)
-    masked = replaced(F.encode(F.col(text_col), "UTF-8"), F.col("merged"), marker_of(registry, replacement))
+    masked = replaced(F.col(text_col), F.col("merged"), marker_of(registry, replacement))
     out = F.when(F.size("merged") > 0, masked).otherwise(F.col(text_col))
     return rows.withColumn(out_col, out).withColumn("findings_count", F.greatest(F.coalesce(F.size("merged"), F.lit(0)), F.lit(0)).cast("long")).drop("view", "merged")
 
@@ -89,10 +89,9 @@ def results(df: DataFrame, path_col: str, text_col: str = "text", registry: Regi
     def report(f):
         return F.struct(registry.name_of(f["det"]).alias("detector"), registry.category_of(f["det"]).alias("category"), _confidence(f["conf"]).alias("confidence"), f["sample"].alias("masked_sample"), f["line"].alias("line"))
 
-    raw = F.encode(F.col("__text"), "UTF-8")
-    masked = F.when(F.size("merged") > 0, replaced(raw, F.col("merged"), marker_of(registry, replacement))).otherwise(F.col("__text"))
+    masked = F.when(F.size("merged") > 0, replaced(F.col("__text"), F.col("merged"), marker_of(registry, replacement))).otherwise(F.col("__text"))
     some = F.coalesce(F.col("merged"), F.array().cast("array<struct<start:int,end:int,det:int,conf:tinyint>>"))
-    return rows.withColumn("findings", F.transform(described(raw, some), report)).withColumn("masked", masked).withColumn("findings_count", F.size(some).cast("long")).drop("view", "merged", "__text")
+    return rows.withColumn("findings", F.transform(described(F.col("__text"), some), report)).withColumn("masked", masked).withColumn("findings_count", F.size(some).cast("long")).drop("view", "merged", "__text")
 
 
 def findings_by_type(found: DataFrame, order_cols: list[str]) -> DataFrame:
