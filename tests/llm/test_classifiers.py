@@ -69,6 +69,84 @@ def test_hidden_positives_are_not_learned_as_clean():
     assert score > 0 > b
 
 
+def test_risk_and_its_slopes():
+    """The non-negative corrected risk against its definition, and slopes against differences."""
+    rng = np.random.default_rng(1)
+    words = np.arange(1, 9, dtype=np.uint64)
+    positive = [np.sort(rng.choice(words, 3, replace=False)) for _ in range(7)]
+    unlabelled = [np.sort(rng.choice(words, 2, replace=False)) for _ in range(11)]
+    p, u = toxicity_pu.Words(positive, words), toxicity_pu.Words(unlabelled, words)
+
+    def plain(w, b, prior):
+        loss = lambda z: float(np.log1p(np.exp(-z)))
+        z = lambda t: b + sum(w[int(x) - 1] for x in t)
+        mean = lambda xs: sum(xs) / len(xs)
+        negative = mean([loss(-z(t)) for t in unlabelled]) - prior * mean([loss(-z(t)) for t in positive])
+        return prior * mean([loss(z(t)) for t in positive]) + max(0.0, negative), negative
+
+    signs = set()
+    for prior in (0.1, 0.5, 0.9):
+        for _ in range(6):
+            w, b = rng.normal(0, 1.5, 8), float(rng.normal())
+            value, g, gb = toxicity_pu.risk(p, u, prior, w, b)
+            want, negative = plain(w, b, prior)
+            signs.add(negative > 0)
+            assert abs(value - want) < 1e-9
+            for i in range(8):
+                step = np.zeros(8)
+                step[i] = 1e-6
+                assert abs((plain(w + step, b, prior)[0] - plain(w - step, b, prior)[0]) / 2e-6 - g[i]) < 1e-5
+            assert abs((plain(w, b + 1e-6, prior)[0] - plain(w, b - 1e-6, prior)[0]) / 2e-6 - gb) < 1e-5
+    assert signs == {True, False}
+
+
+def test_dual_descent_reaches_the_optimum():
+    """The hinge-loss optimum against projected gradient steps on the dense dual."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((40, 6)) < 0.4) * rng.normal(1, 0.3, (40, 6))
+    y = np.where(x @ rng.normal(size=6) + rng.normal(0, 0.3, 40) > 0, 1.0, -1.0)
+    idx = [np.flatnonzero(r) for r in x]
+    w = quality_nbsvm.descend(idx, [r[i] for r, i in zip(x, idx, strict=True)], y, 6, c=0.1, rounds=3000)
+    full = np.c_[x, np.ones(40)] * y[:, None]
+    alpha, q = np.zeros(40), full @ full.T
+    for _ in range(200_000):
+        alpha = np.clip(alpha - 0.002 * (q @ alpha - 1), 0, 0.1)
+    primal = lambda v: 0.5 * v @ v + 0.1 * np.maximum(0, 1 - full @ v).sum()
+    dual = alpha.sum() - 0.5 * alpha @ q @ alpha
+    assert abs(primal(w) - dual) < 1e-3 and np.allclose(w, full.T @ alpha, atol=0.02)
+
+
+def test_ties_and_both_labels(spark):
+    """An id with both labels counts as 1; equal texts get equal scores."""
+    from textveil.llm.labelled import labels_to_learn
+
+    rows = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (3, None), (None, 1), (4, 7)], "doc_id long, toxic int")
+    got = {r["__id"]: r["__y"] for r in labels_to_learn(rows, "toxic", 1, 5).collect()}
+    assert got == {1: 1, 2: 0}
+
+
+def test_query_columns(spark):
+    """What the registered queries return by their contracts, over whole tables."""
+    from textveil.llm.entry import QUERIES
+
+    sf, n = "/root/testdata/sf0.001", 200
+    want = {
+        "op1_exact_top_k": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
+        "op4_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+        "op5_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+        "op6_ngram_jaccard_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+        "op7_quality_classifier": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+        "op9_bpe_codec": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+        "op10_lm_scoring": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    }
+    for name, columns in want.items():
+        out = QUERIES[name](spark, sf)
+        kinds = dict(out.dtypes)
+        assert {c: kinds.get(c) for c in columns} == columns, name
+        if name != "op1_exact_top_k":
+            assert out.count() == n, name
+
+
 def test_language(spark):
     rng = random.Random(9)
     other = ["queja", "ción", "mente", "osdo", "lleña", "rrue"]
@@ -86,6 +164,27 @@ def test_language(spark):
     assert lang_cnn.predict(docs, lang_cnn.learn(docs.limit(0))).filter("lang_pred != 'und'").count() == 0
 
 
+def test_network_slopes():
+    rng = np.random.default_rng(3)
+    net = lang_cnn.Network(["a", "b"])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y = rng.integers(1, 256, (3, lang_cnn.WINDOW)).astype(np.uint8), np.array([0, 1, 1])
+    _, slopes = net.step(x, y)
+    slopes["u"] = slopes["u"] - 1e-4 * net.p["u"]  # the decay of weights, which isn't part of the loss
+    for name, g in slopes.items():
+        for _ in range(4):
+            at = tuple(rng.integers(0, s) for s in net.p[name].shape)
+            if name == "e":
+                at = (int(x[0, rng.integers(0, lang_cnn.WINDOW)]), at[1])
+            keep = net.p[name][at]
+            net.p[name][at] = keep + 1e-5
+            up = net.step(x, y)[0]
+            net.p[name][at] = keep - 1e-5
+            down = net.step(x, y)[0]
+            net.p[name][at] = keep
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-4, name
+
+
 def test_tables_equal_the_network():
     rng = np.random.default_rng(1)
     net = lang_cnn.Network(["a", "b", "c"])

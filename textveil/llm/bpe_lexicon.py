@@ -251,14 +251,15 @@ class Transducer:
 
 
 def mapped(data: bytes) -> Transducer:
-    """The automaton as a file in the worker's own temporary folder, written once and mapped."""
-    path = os.path.join(tempfile.gettempdir(), f"textveil-lexicon-{hashlib.sha256(data).hexdigest()[:16]}")
-    if not os.path.exists(path):
-        fd, tmp = tempfile.mkstemp(dir=tempfile.gettempdir())
+    """The automaton in a private file of the worker, mapped; the name goes at once, and the
+    file with the mapping."""
+    fd, path = tempfile.mkstemp(prefix="textveil-lexicon-")
+    try:
         with os.fdopen(fd, "wb") as f:
             f.write(data)
-        os.replace(tmp, path)
-    return Transducer(path)
+        return Transducer(path)
+    finally:
+        os.unlink(path)
 
 
 class Codec:

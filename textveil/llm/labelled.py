@@ -21,7 +21,11 @@ def labels_to_learn(labels: DataFrame, column: str, k: int, held: int, id_col: s
     return rows.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(F.col(column).cast("int")).alias("__y"))
 
 
+LONGEST = 200_000  # bytes of a text that a classifier is fitted on; longer ones are scored only
+
+
 def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(y, text) of the chosen ids. ``chosen`` is of the sample's bounded size, so it is broadcast."""
+    """(y, text) of the chosen ids whose text has ``LONGEST`` bytes at most. ``chosen`` is of the sample's bounded size, so it is broadcast."""
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    rows = rows.filter(F.coalesce(F.octet_length("__text"), F.lit(0)) <= LONGEST)
     return rows.join(F.broadcast(chosen), "__id").select("__y", "__text")

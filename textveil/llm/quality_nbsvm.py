@@ -128,7 +128,7 @@ def fit(sets: list[set], y: np.ndarray, prior: float) -> Model:
         for g in s:
             df[g] = df.get(g, 0) + 1
     least = LEAST_DF if len(y) >= 200 else 2
-    names = [g for g, c in df.items() if c >= least]
+    names = sorted((g for g, c in df.items() if c >= least), key=repr)  # in an order that no hash seed changes
     number = {g: i for i, g in enumerate(names)}
     idx = [np.sort(np.array([number[g] for g in s if g in number], np.int64)) for s in sets]
     aside = np.arange(len(y)) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
@@ -163,7 +163,8 @@ def features(text: str | None, shapes: Shapes) -> set:
 
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", k: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``SAMPLE`` labelled rows of each class outside the held-out fold."""
+    """Fit on at most ``SAMPLE`` labelled rows of each class outside the held-out fold, of texts
+    of ``labelled.LONGEST`` bytes at most."""
     known = labels_to_learn(labels, column, k, held, id_col)
     counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     chosen = some_ids(known.filter("__y = 0"), SAMPLE, "__id").unionByName(some_ids(known.filter("__y = 1"), SAMPLE, "__id"))

@@ -6,8 +6,8 @@ from, whatever their label, is unlabelled. With class prior p, the risk is
 toxic texts among the unlabelled aren't learned as clean, and the corrected negative
 part never counts below zero. The
 prior is the share of toxic among the labels that may be learned from. The model is
-trained in numpy on ``SAMPLE`` positives and ``SAMPLE`` unlabelled texts at most,
-chosen by hash; scoring reads every whole text.
+trained in numpy on ``SAMPLE`` positives and ``SAMPLE`` unlabelled texts at most (of
+``labelled.LONGEST`` bytes at most), chosen by hash; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -78,26 +78,26 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return chosen, w, b
 
 
-def _descend(positive, unlabelled, vocabulary, prior, rounds, sparse):
-    p, u = Words(positive, vocabulary), Words(unlabelled, vocabulary)
-    n_p, n_u, width = len(positive), len(unlabelled), len(vocabulary)
-    all_p, all_u = np.arange(n_p), np.arange(n_u)
-    share = prior * np.bincount(p.col, minlength=width) / n_p + np.bincount(u.col, minlength=width) / n_u
-
-    def risk(w, b):
-        zp, row_p, col_p = p.margins(all_p, w, b)
-        zu, row_u, col_u = u.margins(all_u, w, b)
-        neg = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gn, gu = -prior * _sigmoid(-zp) / n_p, -prior * _sigmoid(zp) / n_p, _sigmoid(zu) / n_u
-        if neg >= 0:
-            gp = gp + gn
-        else:  # the corrected negative part counts as zero and has no slope
-            gu = np.zeros_like(gu)
-        g = np.bincount(col_p, gp[row_p], width) + np.bincount(col_u, gu[row_u], width)
-        return prior * np.logaddexp(0, -zp).mean() + max(0.0, neg), g, gp.sum() + gu.sum()
+def risk(p: Words, u: Words, prior: float, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+    """The corrected risk of positives and unlabelled texts and its slopes in weights and bias."""
+    n_p, n_u = len(p.start) - 1, len(u.start) - 1
+    zp, row_p, col_p = p.margins(np.arange(n_p), w, b)
+    zu, row_u, col_u = u.margins(np.arange(n_u), w, b)
+    neg = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    gp, gn, gu = -prior * _sigmoid(-zp) / n_p, -prior * _sigmoid(zp) / n_p, _sigmoid(zu) / n_u
+    if neg >= 0:
+        gp = gp + gn
+    else:  # the corrected negative part counts as zero and has no slope
+        gu = np.zeros_like(gu)
+    g = np.bincount(col_p, gp[row_p], len(w)) + np.bincount(col_u, gu[row_u], len(w))
+    return prior * np.logaddexp(0, -zp).mean() + max(0.0, neg), g, gp.sum() + gu.sum()
+
 
+def _descend(positive, unlabelled, vocabulary, prior, rounds, sparse):
+    p, u, width = Words(positive, vocabulary), Words(unlabelled, vocabulary), len(vocabulary)
+    share = prior * np.bincount(p.col, minlength=width) / len(positive) + np.bincount(u.col, minlength=width) / len(unlabelled)
     w, b, slow = np.zeros(width), float(np.log(prior / (1 - prior))), 8.0
-    now, g, gb = risk(w, b)
+    now, g, gb = risk(p, u, prior, w, b)
     least = sparse * np.abs(g).max(initial=0)
     best = (now, w, b)
     for _ in range(rounds):
@@ -105,7 +105,7 @@ def _descend(positive, unlabelled, vocabulary, prior, rounds, sparse):
         new = w - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * least, 0)
         new_b = b - gb / (0.25 * slow)
-        after, g2, gb2 = risk(new, new_b)
+        after, g2, gb2 = risk(p, u, prior, new, new_b)
         total = after + least * np.abs(new).sum()
         if total > now + least * np.abs(w).sum() + 1e-12 and slow < 1e4:
             slow *= 2
@@ -124,6 +124,10 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", k: int = 5,
     positive = some_ids(known.filter("__y = 1").select("__id"), SAMPLE, "__id").withColumn("__y", F.lit(1))
     rest = docs.select(F.col(id_col).cast("long").alias("__id")).filter(F.col("__id").isNotNull() & (fold_col(F.col("__id"), k) != held))
     # drawn from all rows, positives and all: the correction counts on prior times positives among them
+    # a threshold on what the draw orders by leaves few ids, so not all have to be made distinct
+    share = 2 * SAMPLE / max(1, rest.count())
+    if share < 1:
+        rest = rest.filter(F.xxhash64(F.lit(17), "__id") < int(share * 2**64) - 2**63)
     rest = some_ids(rest.distinct(), SAMPLE, "__id").withColumn("__y", F.lit(0))
     rows = texts_of(docs, positive.unionByName(rest).select("__id", "__y"), id_col, text_col)
     schema = pa.schema([("y", pa.int32()), ("h", pa.binary())])
