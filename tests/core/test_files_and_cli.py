@@ -7,18 +7,21 @@ from textveil.cli import parse_args, run
 from textveil.config import ScanConfig, parse_toml_subset
 from textveil.errors import ConfigError, IoError, UsageError
 from textveil.sources.files import binary_bytes, collect_files, list_files, read_documents, read_file
+from textveil.operators.scan import MARKER
 from textveil.sources.sinks import atomic_write
 
+EMAIL = MARKER.format("EMAIL")
+
 
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "in"
     (root / "sub").mkdir(parents=True)
-    (root / "a.txt").write_text("mail user@example.com")
-    (root / "sub/b.txt").write_text("nothing here")
+    (root / "a.txt").write_text("mail me@post.example")
+    (root / "sub/b.txt").write_text("plain words")
     (root / ".hidden").write_text("x")
     (root / "bin.dat").write_bytes(b"He\0l")
-    (root / "bad.txt").write_bytes(b"ok \xff token=sk_live_secret123")
+    (root / "bad.txt").write_bytes(b"ok \xff token=pk_live_geheim12345")
     os.symlink(root / "a.txt", root / "link")
     return root
 
@@ -29,7 +32,7 @@ def test_walk(tree):
     assert by[".hidden"].reason == "Hidden file/directory" and by["link"].reason == "Symlink (not following)"
     assert by["b.txt"].relative == "sub/b.txt"
     assert sum(e.eligible for e in collect_files(str(tree), include_hidden=True, follow_symlinks=True)) == 6
-    assert {e.reason for e in collect_files(str(tree), max_file_size=4) if "max file" in (e.reason or "")} == {f"Exceeds max file size ({n} bytes)" for n in (21, 12, 28)}
+    assert {e.reason for e in collect_files(str(tree), max_file_size=4) if "max file" in (e.reason or "")} == {f"Exceeds max file size ({n} bytes)" for n in (20, 11, 29)}
     os.symlink("/etc", tree / "out")
     assert any("outside root" in (e.reason or "") for e in collect_files(str(tree), follow_symlinks=True))
 
@@ -40,7 +43,7 @@ def test_read_modes(spark, tree):
     assert strict["a.txt"] == ("processed", None) and strict["bin.dat"] == ("skipped", "Binary file") and strict["bad.txt"][0] == "error"
     assert {r.status for r in read_documents(listed, "fail").collect() if r.path.endswith("bin.dat")} == {"error"}
     loose = {os.path.basename(r.path): r.text for r in read_documents(listed, "best-effort").collect()}
-    assert loose["bad.txt"] == "ok \ufffd token=sk_live_secret123" and loose["bin.dat"] == "He\0l"
+    assert loose["bad.txt"] == "ok \ufffd token=pk_live_geheim12345" and loose["bin.dat"] == "He\0l"
     with pytest.raises(IoError):
         read_file(str(tree / "a.txt"), 10)
 
@@ -59,6 +62,37 @@ def test_toml():
     assert (c.max_file_size, c.binary, c.allow, c.include_hidden) == (5, "skip", ("A", "B"), True)
 
 
+def test_toml_lines_and_blanks():
+    assert parse_toml_subset("a = 1\u2028b = 2\r\nc =\x1cd\u00a0\n") == {"a": "1\u2028b = 2", "c": "\x1cd"}
+
+
+def test_report_escapes():
+    from textveil.report import _json
+
+    assert _json("\b\f\\b\n\x1f\"é") == '"\\u0008\\u000c\\\\b\\n\\u001f\\"é"'
+
+
+def test_depth_and_other_kinds(tmp_path):
+    deep = tmp_path / "a/b/c"
+    deep.mkdir(parents=True)
+    (deep / "x.txt").write_text("x")
+    os.mkfifo(tmp_path / "pipe")
+    got = [(e.path, e.reason) for e in collect_files(str(tmp_path), max_depth=2)]
+    assert got == [(str(deep), "Max depth 2 exceeded")]
+    assert [e.relative for e in collect_files(str(tmp_path), max_depth=3)] == ["a/b/c/x.txt"]
+
+
+def test_files_below_a_uri(spark, tree, tmp_path, capsys):
+    out = f"file://{tmp_path}/table"
+    assert run(["--input", f"file://{tree}", "--output", out, "--max-file-size", "26", "--report-json"], spark) == 0
+    files = {f["path"].split("/")[-1]: f for f in json.loads(capsys.readouterr().err)["files"]}
+    assert {k: f["status"] for k, f in files.items()} == {"a.txt": "processed", "b.txt": "processed", "bin.dat": "skipped", "bad.txt": "skipped"}
+    assert files["bad.txt"]["reason"] == "Exceeds max file size (29 bytes)" and files["b.txt"]["path"] == "sub/b.txt"
+    table = spark.read.parquet(out)
+    assert {r.masked for r in table.collect()} == {f"mail {EMAIL}", "plain words"} and table.columns == ["path", "masked"]
+    assert run(["--input", f"file://{tree}", "--in-place"], spark) == 2
+
+
 def test_arguments():
     c = parse_args(["--text", "--summary", "--pattern", "A=b=c", "--allow-pattern", "X", "--allow-pattern", "Y", "--format", "json"])
     assert c.text == "--summary" and c.patterns == (("A", "b=c"),) and c.allow == ("X", "Y") and c.format == "json" and not c.summary
@@ -76,14 +110,14 @@ def test_atomic_write(tmp_path):
 
 
 def test_text_runs(spark, capsys):
-    assert run(["--text", "mail user@example.com"], spark) == 0
-    assert capsys.readouterr().out == "mail [REDACTED:EMAIL]"
-    assert run(["--text", "mail user@example.com", "--dry-run", "--fail-on-find"], spark) == 3
+    assert run(["--text", "mail me@post.example"], spark) == 0
+    assert capsys.readouterr().out == f"mail {EMAIL}"
+    assert run(["--text", "mail me@post.example", "--dry-run", "--fail-on-find"], spark) == 3
     got = capsys.readouterr()
-    assert got.out == "mail user@example.com" and "Total findings:  1" in got.err and "  EMAIL: 1" in got.err
+    assert got.out == "mail me@post.example" and "Total findings:  1" in got.err and "  EMAIL: 1" in got.err
     assert run(["--text", "clean", "--fail-on-find"], spark) == 0
     capsys.readouterr()
-    assert run(["--text", "mail user@example.com", "--format", "json"], spark) == 0
+    assert run(["--text", "mail me@post.example", "--format", "json"], spark) == 0
     report = json.loads(capsys.readouterr().out)
     assert report["summary"]["findings_by_type"] == {"EMAIL": 1} and report["files"][0]["findings"][0]["line"] == 1
     assert run(["--input", "/no/such/file"], spark) == 2
@@ -94,12 +128,14 @@ def test_directory_runs(spark, tree, tmp_path, capsys):
     assert run(["--input", str(tree)], spark) == 2
     out = tmp_path / "out"
     assert run(["--input", str(tree), "--output", str(out), "--fail-on-find"], spark) == 3
-    assert (out / "a.txt").read_text() == "mail [REDACTED:EMAIL]" and (out / "sub/b.txt").read_text() == "nothing here" and not (out / "bin.dat").exists()
+    assert (out / "a.txt").read_text() == f"mail {EMAIL}" and (out / "sub/b.txt").read_text() == "plain words" and not (out / "bin.dat").exists()
     assert "Processed 2 files, 1 findings, 3 skipped" in capsys.readouterr().err
     assert run(["--input", str(tree), "--in-place", "--report-json"], spark) == 0
-    assert (tree / "a.txt").read_text() == "mail [REDACTED:EMAIL]"
+    assert (tree / "a.txt").read_text() == f"mail {EMAIL}"
     report = json.loads(capsys.readouterr().err)
     status = {os.path.basename(f["path"]): f["status"] for f in report["files"]}
+    roots = [f["path"] if f["path"].startswith("/") else str(tree / f["path"]) for f in report["files"]]
+    assert roots == sorted(roots, key=lambda p: p.split("/"))
     assert status["a.txt"] == "processed" and status["bad.txt"] == "error" and status[".hidden"] == "skipped"
     assert run(["--input", str(tree / "bin.dat")], spark) == 0 and run(["--input", str(tree / "bin.dat"), "--binary", "fail"], spark) == 1
 
@@ -115,5 +151,5 @@ def test_stream(spark, tmp_path):
     q2.processAllAvailable()
     q.stop()
     q2.stop()
-    assert {r.masked for r in spark.table("masked").collect()} == {"[REDACTED:EMAIL] and [REDACTED:IP]", "none"}
+    assert {r.masked for r in spark.table("masked").collect()} == {f"{EMAIL} and {MARKER.format('IP')}", "none"}
     assert {(r.detector, r.n) for r in spark.table("counted").collect()} == {("EMAIL", 1), ("IP", 1)}

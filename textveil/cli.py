@@ -20,6 +20,7 @@ from .operators.registry import Registry, build_registry
 from .sources import files, sinks
 
 VERSION = "0.1.0"
+# Names, choices and defaults of the options.
 FLAGS = {"--in-place": ("in_place", True), "--recursive": ("recursive", True), "--report-json": ("report_json", True), "--dry-run": ("dry_run", True), "--fail-on-find": ("fail_on_find", True), "--summary": ("summary", True), "--include-hidden": ("include_hidden", True), "--no-follow-symlinks": ("follow_symlinks", False), "--follow-symlinks": ("follow_symlinks", True)}
 VALUES = {"--text": "text", "--input": "input", "--output": "output", "--config": "config", "--replacement": "replacement"}
 CHOICES = {"--format": ("format", ("text", "json")), "--binary": ("binary", BINARY_MODES)}
@@ -102,10 +103,10 @@ def _gate(config: ScanConfig, found: bool) -> int:
     return FINDINGS if config.fail_on_find and found else OK
 
 
-def _report(config: ScanConfig, res: DataFrame, to=None) -> dict:
-    summary = report.counts(res)
+def _report(config: ScanConfig, res: DataFrame, to=None, order_cols: tuple[str, ...] = ("path",)) -> dict:
+    summary = report.counts(res, order_cols)
     if to is not None:
-        for part in report.json_report(res, summary):
+        for part in report.json_report(res, summary, order_cols):
             to(part)
     return summary
 
@@ -150,23 +151,34 @@ def scan_file(spark: SparkSession, config: ScanConfig, path: str) -> int:
     return scan_one(spark, config, path, text, True)
 
 
+def is_uri(path: str) -> bool:
+    return "://" in path
+
+
 def scan_directory(spark: SparkSession, config: ScanConfig, root: str) -> int:
     """A tree of files: listed on the driver, read, scanned and written by the executors.
 
-    Paths are relative for processed files and absolute for the others. Nothing is kept
-    but the masked texts and findings, scanned once for the sink and the reports.
+    Paths are relative for processed files and absolute for the others, in the order of the
+    absolute ones. Nothing is kept but the masked texts and findings, scanned once for the
+    sink and the reports. Below a URI, masked texts go to a table at the output.
     """
     if not (config.output or config.in_place or config.dry_run or config.summary or config.report_json):
         raise UsageError("a directory needs --output, --in-place, --dry-run, --summary or --report-json")
-    listed = files.list_files(spark, root, include_hidden=config.include_hidden, follow_symlinks=config.follow_symlinks, max_file_size=config.max_file_size)
-    docs = files.read_documents(listed, config.binary, config.max_file_size)
+    remote = is_uri(root)
+    if remote and config.in_place:
+        raise UsageError("files below a URI can't be changed in place")
+    if remote:
+        docs = files.read_uri(spark, root, config.binary, config.max_file_size)
+    else:
+        listed = files.list_files(spark, root, include_hidden=config.include_hidden, follow_symlinks=config.follow_symlinks, max_file_size=config.max_file_size)
+        docs = files.read_documents(listed, config.binary, config.max_file_size)
     res = scan.results(docs, "path", "text", registry_of(config), config.replacement).drop("text").persist()
     try:
         if not config.dry_run and (config.output or config.in_place):
-            sinks.write_files(res, config.output)
-        shown = res.withColumn("path", F.when(F.col("status") == scan.PROCESSED, F.col("relative")).otherwise(F.col("path")))
+            sinks.write_table(res, config.output) if remote else sinks.write_files(res, config.output)
+        shown = res.withColumn("at", F.split("path", "/")).withColumn("path", F.when(F.col("status") == scan.PROCESSED, F.col("relative")).otherwise(F.col("path")))
         to = sys.stdout.write if config.format == "json" else sys.stderr.write if config.report_json else None
-        summary = _report(config, shown, to)
+        summary = _report(config, shown, to, ("at",))
         if config.summary or config.dry_run:
             sys.stderr.write(report.text_summary(summary))
         elif not config.report_json:
@@ -182,6 +194,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         session = lambda: spark or SparkSession.builder.appName("textveil").getOrCreate()
         if config.text is not None:
             return scan_one(session(), config, "<stdin/text>", config.text, False)
+        if config.input is not None and is_uri(config.input):
+            return scan_directory(session(), config, config.input)
         if config.input is not None:
             path = files.existing(config.input)
             return scan_directory(session(), config, path) if os.path.isdir(path) else scan_file(session(), config, path)

@@ -59,22 +59,26 @@ class ScanConfig:
         return replace(self, **new)
 
 
+#: The white space that lines, keys and values are stripped of.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def parse_toml_subset(text: str) -> dict[str, str]:
     """Keys and values, a key in a section as ``section.key``.
 
-    Blank lines and lines beginning with # are left; one layer of matching quotes goes;
+    Only line feeds part lines. Blank lines and lines beginning with # are left; one layer of matching quotes goes;
     nothing is unescaped and there are no comments after values.
     """
     out: dict[str, str] = {}
     section = ""
-    for n, line in enumerate(text.splitlines(), 1):
-        line = line.strip()
+    for n, line in enumerate(text.split("\n"), 1):
+        line = line.strip(BLANKS)
         if not line or line.startswith("#"):
             continue
         if line.startswith("[") and line.endswith("]"):
-            section = line[1:-1].strip()
+            section = line[1:-1].strip(BLANKS)
         elif "=" in line:
-            key, value = (x.strip() for x in line.split("=", 1))
+            key, value = (x.strip(BLANKS) for x in line.split("=", 1))
             if len(value) >= 2 and value[0] == value[-1] and value[0] in "\"'":
                 value = value[1:-1]
             out[f"{section}.{key}" if section else key] = value

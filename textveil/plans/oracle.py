@@ -4,6 +4,8 @@ one character at a time, and recursive queries pick spans, merge them and build
 
 from __future__ import annotations
 
+from ..operators.scan import MARKER
+
 ALNUM = "[0-9A-Za-z]"
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -149,16 +151,25 @@ def merged_sql(names=PII, source="documents", key="doc_id", text="text") -> str:
     FROM f JOIN {source} d ON d.{key} = f.k"""
 
 
-def mask_sql(replacement: str | None = None, names=PII) -> str:
-    marker = f"'{replacement}'" if replacement is not None else "concat('[REDACTED:', detector, ']')"
-    return f"""{merged_ctes(names)},
-    p AS (SELECT k, pos, e, concat(substr(d.text, lag_e + 1, s - lag_e), {marker}) AS piece FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY k ORDER BY pos), 0) AS lag_e FROM f) x JOIN documents d ON d.doc_id = x.k),
+def mask_sql(replacement: str | None = None, names=PII, source="documents") -> str:
+    before, after = MARKER.split("{}")
+    marker = f"'{replacement}'" if replacement is not None else f"concat('{before}', detector, '{after}')"
+    return f"""{merged_ctes(names, source)},
+    p AS (SELECT k, pos, e, concat(substr(d.text, lag_e + 1, s - lag_e), {marker}) AS piece FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY k ORDER BY pos), 0) AS lag_e FROM f) x JOIN {source} d ON d.doc_id = x.k),
     j AS (SELECT k, string_agg(piece, '' ORDER BY pos) AS head, max(e) AS e, count(*) AS n FROM p GROUP BY k)
     SELECT d.doc_id AS doc_id, CASE WHEN j.k IS NULL THEN d.text ELSE concat(head, substr(d.text, e + 1)) END AS masked, CAST(coalesce(n, 0) AS BIGINT) AS findings_count
-    FROM documents d LEFT JOIN j ON j.k = d.doc_id"""
+    FROM {source} d LEFT JOIN j ON j.k = d.doc_id"""
+
+
+def json_sql(names=PII, source="documents") -> str:
+    """(path, json) of each text's report."""
+    return f"""WITH r AS ({merged_sql(names, source)}),
+    j AS (SELECT doc_id, count(*) AS n, list(struct_pack(detector := detector, category := category, confidence := confidence, masked_sample := masked_sample, line := line) ORDER BY pos) AS findings FROM r GROUP BY doc_id)
+    SELECT CAST(d.doc_id AS VARCHAR) AS path, CAST(to_json(struct_pack(path := CAST(d.doc_id AS VARCHAR), status := 'processed', findings_count := coalesce(j.n, 0), findings := coalesce(j.findings, []))) AS VARCHAR) AS json
+    FROM {source} d LEFT JOIN j ON j.doc_id = d.doc_id"""
 
 
-def by_type_sql(names=PII) -> str:
-    return f"""{merged_ctes(names)},
+def by_type_sql(names=PII, source="documents") -> str:
+    return f"""{merged_ctes(names, source)},
     t AS (SELECT detector, count(*) AS n, min(struct_pack(k := k, pos := pos)) AS seen FROM f GROUP BY detector)
     SELECT detector, n, CAST(row_number() OVER (ORDER BY n DESC, seen) AS BIGINT) AS position FROM t"""

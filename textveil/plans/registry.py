@@ -11,9 +11,18 @@ from ..functions.binary import is_binary
 from ..operators import scan
 from ..operators.registry import build_registry
 from . import oracle
+from .planted import planted, planted_sql
 
 PII_NAMES = ("EMAIL", "PHONE", "IP", "CREDIT_CARD", "SSN")
-PATTERN = ("TOKEN_LINE", 'token = "\\w+"')
+#: query -> (pattern, the same as a regex, bytes of its window, what must hold before a match for SQL to take it)
+PATTERNS = {
+    "custom_pattern": ('token = "\\w+"', 'token = "[0-9A-Za-z_]+"', 4096, "true"),
+    "custom_any_byte": ("card .... .", "card [^\\n]{4} [^\\n]", 11, "true"),
+    "custom_class": ("id [A-Z][^a-z, ]*", "id [A-Z][^a-z, ]{0,4096}", 4100, "true"),
+    "custom_optional": ("^xoxb?-[0-9]+-\\d\\d\\d-$", "xoxb?-[0-9]+-[0-9][0-9][0-9]-", 60, "true"),
+    "custom_negated": ("host\\s\\D?\\d+\\.\\d*\\W", "host[ \\t\\n\\f\\r][^0-9]?[0-9]+[.][0-9]*[^0-9A-Za-z_]", 60, "true"),
+    "custom_pipe": ("a|b", "a[|]b", 3, "true"),
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,24 +30,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    """All documents, each whole and with a made-up value added."""
+    return _table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+
 
+def detect(spark, sf_dir, name: str, place: int = 0) -> DataFrame:
+    return scan.raw_findings(_documents(spark, sf_dir), ["doc_id"], name, "text", place)
 
-def detect(spark, sf_dir, name: str, place: int = 0, source: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
-    return scan.raw_findings(_table(spark, sf_dir, source), [key], name, text, place)
+
+def detect_in_pages(spark, sf_dir, name: str, text: str) -> DataFrame:
+    return scan.raw_findings(_table(spark, sf_dir, "pages"), ["page_id"], name, text)
 
 
 def detect_merged(spark, sf_dir, **lists) -> DataFrame:
     return scan.findings(_documents(spark, sf_dir), ["doc_id"], "text", build_registry(**lists))
 
 
-def custom_pattern(spark, sf_dir) -> DataFrame:
-    found = scan.findings(_documents(spark, sf_dir), ["doc_id"], "text", build_registry(allow=["NONE"], patterns=[PATTERN]))
+def custom_pattern(spark, sf_dir, name: str, pattern: str) -> DataFrame:
+    found = scan.findings(_documents(spark, sf_dir), ["doc_id"], "text", build_registry(allow=["NONE"], patterns=[(name, pattern)]))
     return found.select("doc_id", "detector", "category", "start_byte", "end_byte", "confidence")
 
 
-def mask_text(spark, sf_dir, replacement: str | None = None) -> DataFrame:
-    return scan.mask(_documents(spark, sf_dir), "text", build_registry(allow=PII_NAMES), replacement).select("doc_id", "masked", "findings_count")
+def mask_text(spark, sf_dir, replacement: str | None = None, **lists) -> DataFrame:
+    return scan.mask(_documents(spark, sf_dir), "text", build_registry(**lists), replacement).select("doc_id", "masked", "findings_count")
 
 
 def _results(spark, sf_dir, **lists) -> DataFrame:
@@ -51,7 +65,7 @@ def findings_by_type(spark, sf_dir, **lists) -> DataFrame:
 
 
 def scan_summary(spark, sf_dir) -> DataFrame:
-    return scan.summary(_results(spark, sf_dir, allow=PII_NAMES))
+    return scan.summary(_results(spark, sf_dir))
 
 
 def report_json(spark, sf_dir) -> DataFrame:
@@ -59,13 +73,15 @@ def report_json(spark, sf_dir) -> DataFrame:
 
 
 def binary_check(spark, sf_dir) -> DataFrame:
-    docs = _documents(spark, sf_dir)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     bad = F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.lit("\0")).otherwise(F.lit("")))
     return docs.select("doc_id", is_binary(F.encode(F.col("text"), "UTF-8")).alias("plain"), is_binary(F.encode(F.left(bad, F.lit(1 << 30)), "UTF-8")).alias("with_nul"))
 
 
 def clean_documents(spark, sf_dir) -> DataFrame:
-    return mask_text(spark, sf_dir).filter("findings_count = 0").select("doc_id")
+    """Documents without a finding of any detector, as they are."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan.mask(docs, "text", build_registry()).filter("findings_count = 0").select("doc_id")
 
 
 _DETECTORS = {
@@ -76,36 +92,47 @@ _DETECTORS = {
 
 QUERIES: dict = {f"detect_{k}": partial(detect, name=n, place=i) for k, (n, i) in _DETECTORS.items()}
 QUERIES |= {
-    "detect_path_urls": partial(detect, name="PATH", source="pages", key="page_id", text="url"),
+    "detect_path_urls": partial(detect_in_pages, name="PATH", text="url"),
     "detect_all_merged": detect_merged,
     "detect_pii_merged": partial(detect_merged, allow=PII_NAMES),
     "allow_list": partial(detect_merged, allow=("EMAIL", "IP", "no such name")),
     "deny_list": partial(detect_merged, allow=PII_NAMES, deny=("PHONE", "SSN")),
-    "custom_pattern": custom_pattern,
+    **{k: partial(custom_pattern, name=k.upper(), pattern=p) for k, (p, *_) in PATTERNS.items()},
     "mask_text": mask_text,
     "mask_text_custom_replacement": partial(mask_text, replacement="<é$1\\>"),
     "findings_by_type": findings_by_type,
     "findings_by_type_pii": partial(findings_by_type, allow=PII_NAMES),
+    "mask_text_pii": partial(mask_text, allow=PII_NAMES),
     "scan_summary": scan_summary,
     "report_json": report_json,
     "is_binary": binary_check,
     "clean_documents": clean_documents,
 }
 
-ORACLE_SQL: dict[str, str] = {f"detect_{k}": oracle.detector_sql(k, "documents", "doc_id", "text") for k in _DETECTORS}
-_TOKEN = oracle.candidates("documents", "doc_id", "text", "token = ", 4096, 'token = "[0-9A-Za-z_]+"', "true", conf="1")
+_DOCS = planted_sql()
+
+
+def _custom_sql(name: str, window: int, regex: str, first: str) -> str:
+    """Findings of a pattern none of whose matches overlap: places where a window matches and that begin a run."""
+    cands = oracle.candidates(_DOCS, "doc_id", "text", regex.replace("'", "''"), window, regex, first, conf="1")
+    return f"WITH r AS ({cands}) " + oracle._findings(_DOCS, "doc_id", "text", name, "custom")
+
+
+ORACLE_SQL: dict[str, str] = {f"detect_{k}": oracle.detector_sql(k, _DOCS, "doc_id", "text") for k in _DETECTORS}
+ORACLE_SQL |= {k: _custom_sql(k.upper(), w, regex, first) for k, (_, regex, w, first) in PATTERNS.items()}
 ORACLE_SQL |= {
     "detect_path_urls": oracle.detector_sql("path", "pages", "page_id", "url"),
-    "detect_pii_merged": oracle.merged_sql(),
-    "allow_list": oracle.merged_sql(("email", "ipv4", "ipv6")),
-    "deny_list": oracle.merged_sql(("email", "ipv4", "ipv6", "credit_card")),
-    "custom_pattern": f"WITH r AS ({_TOKEN}) " + oracle._findings("documents", "doc_id", "text", PATTERN[0], "custom"),
-    "mask_text": oracle.mask_sql(),
-    "mask_text_custom_replacement": oracle.mask_sql("<é$1\\>"),
-    "detect_all_merged": oracle.merged_sql(oracle.ALL),
-    "findings_by_type": oracle.by_type_sql(oracle.ALL),
-    "findings_by_type_pii": oracle.by_type_sql(),
-    "scan_summary": oracle.merged_ctes() + " SELECT (SELECT count(*) FROM documents) AS files_processed, CAST(0 AS BIGINT) AS files_skipped, CAST(0 AS BIGINT) AS files_errored, (SELECT count(*) FROM f) AS total_findings",
+    "detect_pii_merged": oracle.merged_sql(source=_DOCS),
+    "allow_list": oracle.merged_sql(("email", "ipv4", "ipv6"), _DOCS),
+    "deny_list": oracle.merged_sql(("email", "ipv4", "ipv6", "credit_card"), _DOCS),
+    "mask_text": oracle.mask_sql(names=oracle.ALL, source=_DOCS),
+    "mask_text_pii": oracle.mask_sql(source=_DOCS),
+    "mask_text_custom_replacement": oracle.mask_sql("<é$1\\>", oracle.ALL, _DOCS),
+    "detect_all_merged": oracle.merged_sql(oracle.ALL, _DOCS),
+    "findings_by_type": oracle.by_type_sql(oracle.ALL, _DOCS),
+    "findings_by_type_pii": oracle.by_type_sql(source=_DOCS),
+    "scan_summary": oracle.merged_ctes(oracle.ALL, _DOCS) + " SELECT (SELECT count(*) FROM documents) AS files_processed, CAST(0 AS BIGINT) AS files_skipped, CAST(0 AS BIGINT) AS files_errored, (SELECT count(*) FROM f) AS total_findings",
+    "report_json": oracle.json_sql(oracle.ALL, _DOCS),
     "is_binary": "SELECT doc_id, octet_length(encode(text)) - octet_length(encode(regexp_replace(text, '[\\x01-\\x06\\x0e-\\x1a\\x1c-\\x1f]', '', 'g'))) > 0.3 * greatest(least(strlen(text), 8192), 1) AS plain, doc_id % 3 = 0 AND strlen(text) < 8192 AS with_nul FROM documents",
-    "clean_documents": oracle.merged_ctes() + " SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT k FROM f)",
+    "clean_documents": oracle.merged_ctes(oracle.ALL) + " SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT k FROM f)",
 }

@@ -33,7 +33,8 @@ class Entry:
 def collect_files(root: str, include_hidden: bool = False, follow_symlinks: bool = False, max_file_size: int = MAX_FILE_SIZE, max_depth: int = MAX_DEPTH) -> list[Entry]:
     """All entries below a directory, eligible or skipped with a reason, sorted by path.
 
-    Tests come in a fixed order: hidden, symlink, directory or file, size. Sockets,
+    Tests come in a fixed order: hidden, symlink, directory or file, size. The reasons are
+    fixed values. Sockets,
     pipes and devices give no entry; what can't be listed raises.
     """
     try:
@@ -120,6 +121,25 @@ def read_documents(entries: DataFrame, mode: str = "skip", max_size: int = MAX_F
     return judged.unionByName(skipped)
 
 
+def read_uri(spark: SparkSession, uri: str, mode: str = "skip", max_size: int = MAX_FILE_SIZE) -> DataFrame:
+    """(path, relative, text, status, reason) of the files below a location that only Spark's
+    readers reach, such as an object store.
+
+    Executors list and read. Files over the size are skipped with a reason before their
+    contents are read. Names with a leading dot or underscore, which Spark's readers don't
+    list, have no row.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    top = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
+    name = F.when(F.startswith(F.col("path"), F.lit(f"{top}/")), F.substr("path", F.lit(len(top) + 2))).otherwise(F.element_at(F.split("path", "/"), -1))
+    small = found.filter(F.col("length") <= max_size)
+    judged = judge(small.select("path", name.alias("relative"), "content", F.lit(None).cast("string").alias("error")), mode, max_size)
+    reason = F.concat(F.lit("Exceeds max file size ("), F.col("length").cast("string"), F.lit(" bytes)"))
+    large = found.filter(F.col("length") > max_size).select("path", F.lit(None).cast("string").alias("relative"), F.lit(None).cast("string").alias("text"), F.lit("skipped").alias("status"), reason.alias("reason"))
+    return judged.unionByName(large)
+
+
 def judge(files: DataFrame, mode: str = "skip", max_size: int = MAX_FILE_SIZE) -> DataFrame:
     """Text, status and reason from (path, relative, content, error)."""
     content = F.col("content")

@@ -18,6 +18,7 @@ def atomic_write(path: str, content: str) -> None:
     anything fails.
     """
     folder = os.path.dirname(path) or "."
+    # Fixed value: the name of the temporary file.
     tmp = os.path.join(folder, f".redact_tmp_{os.getpid()}_{os.path.basename(path)}")
     try:
         os.makedirs(folder, exist_ok=True)
@@ -50,5 +51,6 @@ def write_files(res: DataFrame, output: str | None = None) -> int:
 
 
 def write_table(res: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A new Parquet version; a table being read is never written over."""
-    res.write.mode(mode).parquet(path)
+    """(path, masked) of processed rows as Parquet at any location that Spark writes to; what
+    is there is never written over."""
+    res.filter("status = 'processed'").select("path", "masked").write.mode(mode).parquet(path)
