@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch, cut, small_batches, table
+from .common import batch, cut, keep_only, last_written, small_batches, table, written
 
 SHARD_BYTES = 32 << 20  # of a shard's vectors at most, about
 LEAST_SHARD = 2048  # rows
@@ -323,7 +323,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     its own. With no partner a query has no row; an empty table gives an empty result.
     Other columns aren't read.
     """
-    spark = vectors.sparkSession
+    spark, mark = vectors.sparkSession, written()
     small_batches(spark)
 
     def scaled(e):
@@ -344,6 +344,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
 
     # written once, so a row keeps its number
     rows = cut(rows.mapInArrow(flat, "d int, id long, v binary, q boolean").withColumn("row", F.monotonically_increasing_id()), "vectors")
+    rows_path = last_written()
     n = rows.count()
     shard_rows = lambda d: max(1, min(max(LEAST_SHARD, n // (4 * parts)), SHARD_BYTES // (8 * d)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -379,6 +380,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
         found = cut(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "found")
         floors = found.filter(F.col("rank") == k).select("row", F.col("score").alias("floor"))
         found = found.drop("rank")
+    keep_only(spark, mark, rows_path, last_written())
     ids = rows.filter("q").select("row", F.col("id").alias("query_id"))
     out = found.withColumn("rank", F.row_number().over(best)).join(ids, "row")
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -61,11 +61,18 @@ def cut(df: DataFrame, what: str = "t") -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner find shuffles that no frame refers to any more; else their files
-    stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def written() -> int:
+    """How many paths are written and not discarded: a mark for ``keep_only``, and for the last path."""
+    return len(_WRITTEN)
+
+
+def last_written() -> str:
+    return _WRITTEN[-1]
+
+
+def keep_only(spark: SparkSession, mark: int, *paths: str) -> None:
+    """Delete what was written since the mark but for the paths that a result still reads."""
+    discard(spark, [p for p in _WRITTEN[mark:] if p not in paths])
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitfilter import bit_filter, flagged, passes
-from .common import FlatWords, batch, cut, runs, small_batches, table
+from .common import FlatWords, batch, cut, keep_only, last_written, runs, small_batches, table, written
 
 SEED = 4  # words
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -176,6 +176,9 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def contaminated_removed(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no item, with all their columns; only rows that may go are moved."""
+    mark = written()
     bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("row").alias("__row")).distinct()
-    rest, met = flagged(docs, cut(bad.withColumn("__bad", F.lit(True)), "bad"), id_col, text_col)
+    bad = cut(bad.withColumn("__bad", F.lit(True)), "bad")
+    keep_only(docs.sparkSession, mark, last_written())
+    rest, met = flagged(docs, bad, id_col, text_col)
     return rest.unionByName(met.filter("__bad is null").select(docs.columns))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitfilter import bit_filter, flagged, passes
-from .common import FlatWords, batch, cut, lowered_words, shingle_sets, small_batches, table
+from .common import FlatWords, batch, cut, keep_only, last_written, lowered_words, shingle_sets, small_batches, table, written
 from .graph import connected
 
 LEVEL = 7  # a count vector has 2**LEVEL coordinates at least, and one for 4 to 8 shingles of larger sets
@@ -398,11 +398,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(doc, row, n, node) of each input row, ``row`` being the text's xxhash64, and
     (node, comp, least) with the least id of each component."""
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, written()
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("txt"))
     run, schema = _first_pass(k)
     first = cut(docs.select("doc", "txt", F.xxhash64("txt").alias("row")).mapInArrow(run, schema), "first")
+    first_path = last_written()
     hot = first.filter("hot").groupBy("node").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "node").limit(HOT_MAX).select("node").collect()
     hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64)).tobytes())
     rows = first.filter("not hot").select("doc", "row", "n", "node")
@@ -427,7 +428,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
 
     named = reps.join(comps, "node", "left").select("node", "label", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("label").alias("least"))
-    return rows, cut(named.join(cut(least, "least"), "comp").select("node", "comp", "least"), "named")
+    named = cut(named.join(cut(least, "least"), "comp").select("node", "comp", "least"), "named")
+    keep_only(spark, mark, first_path, last_written())
+    return rows, named
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,6 +445,7 @@ def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are components of their own. All other rows stay as they are, and only the rows that
     may go are moved.
     """
+    mark = written()
     rows, named = _components(docs, id_col, text_col, 5, 80, 100)
     rows = rows.join(named.select("node", "comp"), "node", "left").groupBy("doc", "row").agg(F.first("comp").alias("comp"), F.count("*").alias("times"))
     rows = cut(rows, "rows")
@@ -455,7 +459,9 @@ def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "times",
     )
     flags = flags.toDF("__id", "__row", "__goes", "__times").withColumn("__goes", F.coalesce("__goes", F.lit(False))).filter("__goes or __times > 1")
-    rest, some = flagged(docs, cut(flags, "flags"), id_col, text_col)
+    flags = cut(flags, "flags")
+    keep_only(docs.sparkSession, mark, last_written())
+    rest, some = flagged(docs, flags, id_col, text_col)
     some = some.filter(~F.coalesce("__goes", F.lit(False)))
     once, again = some.filter("__times is null or __times = 1"), some.filter("__times > 1")
     return rest.unionByName(once.select(docs.columns)).unionByName(again.dropDuplicates(["__id", "__row"]).select(docs.columns))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitfilter import bit_filter, flagged, passes
-from .common import batch, cut, encoded, small_batches, table, worker_memory
+from .common import batch, cut, encoded, keep_only, last_written, small_batches, table, worker_memory, written
 
 MIN_WORDS = 8
 LAST = (1 << 63) - 1  # stands for a null id: such rows rank last
@@ -253,25 +253,29 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return lost.groupBy("doc", "row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc"))).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", changed_only: bool = False) -> DataFrame:
-    """``docs`` with the repeated units cut out of the text, and ``removed_spans``.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", changed_only: bool = False, spans_col: str = "removed_spans") -> DataFrame:
+    """``docs`` with the repeated units cut out of the text, and ``spans_col``, which takes the
+    place of a column of that name.
 
     Every row stays, with all its columns, but for ``changed_only``; a text may become empty.
     Only rows that may change are moved.
     """
-    spans = repeated_spans(docs, id_col, text_col).select(F.nullif("doc", F.lit(LAST)).alias("__id"), F.col("row").alias("__row"), F.col("spans").alias("removed_spans"))
+    mark = written()
+    spans = repeated_spans(docs, id_col, text_col).select(F.nullif("doc", F.lit(LAST)).alias("__id"), F.col("row").alias("__row"), F.col("spans").alias("__spans"))
     spans = cut(spans, "spans")
+    keep_only(docs.sparkSession, mark, last_written())
 
     @F.pandas_udf("string")
     def cut_text(text, spans):
         return text.combine(spans, lambda t, s: t if t is None or s is None else cut_out(t, [(x["start"], x["end"]) for x in s]))
 
     rest, met = flagged(docs, spans, id_col, text_col)
-    changed = F.when(F.col("removed_spans").isNull(), F.col(text_col)).otherwise(cut_text(F.col(text_col), F.col("removed_spans")))
+    changed = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut_text(F.col(text_col), F.col("__spans")))
     met = met.withColumn(text_col, changed).drop("__id", "__row")
+    named = lambda df: df.drop(spans_col).withColumnRenamed("__spans", spans_col)
     if changed_only:
-        return met.filter("removed_spans is not null")
-    return rest.withColumn("removed_spans", F.lit(None).cast(met.schema["removed_spans"].dataType)).unionByName(met)
+        return named(met.filter("__spans is not null"))
+    return named(rest.withColumn("__spans", F.lit(None).cast(met.schema["__spans"].dataType)).unionByName(met))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
