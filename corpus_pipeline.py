@@ -26,9 +26,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines and sentences that an earlier document has are cut out of the text; n_chars follows."""
-    out = substring_dedup.without_repeats(docs)
+    out = substring_dedup.without_repeats(docs, spans_col="__removed")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 

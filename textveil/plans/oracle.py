@@ -173,3 +173,17 @@ def by_type_sql(names=PII, source="documents") -> str:
     return f"""{merged_ctes(names, source)},
     t AS (SELECT detector, count(*) AS n, min(struct_pack(k := k, pos := pos)) AS seen FROM f GROUP BY detector)
     SELECT detector, n, CAST(row_number() OVER (ORDER BY n DESC, seen) AS BIGINT) AS position FROM t"""
+
+
+def reading_sql(limit: int, binary: str | None) -> str:
+    """(path, text, status, reason) of documents as contents with a leading byte; ``binary`` is
+    the status of binary ones, none where they are read as well as they can be."""
+    size = "strlen(text) + CASE WHEN doc_id % 4 IN (1, 2) THEN 1 ELSE 0 END"
+    large = f"{size} > {limit}"
+    why = f"CASE WHEN {large} THEN 'I/O error: file exceeds maximum size ({limit} bytes)'"
+    if binary:
+        why += " WHEN doc_id % 4 = 2 THEN 'Binary file' WHEN doc_id % 4 = 1 THEN 'I/O error: invalid UTF-8'"
+    lead = "CASE doc_id % 4 WHEN 1 THEN chr(65533) WHEN 2 THEN chr(0) ELSE '' END"
+    return f"""SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN reason IS NULL THEN concat({lead}, text) END AS text,
+      CASE WHEN reason IS NULL THEN 'processed' WHEN reason = 'Binary file' THEN '{binary}' ELSE 'error' END AS status, reason
+    FROM (SELECT *, {why} END AS reason FROM documents)"""

@@ -27,7 +27,7 @@ VALUES = (
     "whsec_0123456789abcdefABCDEF, not whsk_short",
     "xoxb-111-222-abcdefghij, not xoxz-111-222-abcdefghij",
     "ghp_0123456789abcdefABCDEF and github_pat_11AAAAAAA0123456789",
-    "sk_live_0123456789abcdef, not pk_test_x, a|b or a||b",
+    "sk_live_0123456789abcdef, not pk_test_x, a|b or a||b, token = \"abc_1\"",
     "secret: topsecretvalue, token=abcd1234é credential = x1y2z3, secretary = none",
 )
 

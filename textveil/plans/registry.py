@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.binary import is_binary
 from ..operators import scan
 from ..operators.registry import build_registry
+from ..sources.files import judge
 from . import oracle
 from .planted import planted, planted_sql
 
 PII_NAMES = ("EMAIL", "PHONE", "IP", "CREDIT_CARD", "SSN")
-#: query -> (pattern, the same as a regex, bytes of its window, what must hold before a match for SQL to take it)
+#: query -> (pattern, the same as a regex, its window in SQL, what SQL asks of a place first)
 PATTERNS = {
     "custom_pattern": ('token = "\\w+"', 'token = "[0-9A-Za-z_]+"', 4096, "true"),
     "custom_any_byte": ("card .... .", "card [^\\n]{4} [^\\n]", 11, "true"),
-    "custom_class": ("id [A-Z][^a-z, ]*", "id [A-Z][^a-z, ]{0,4096}", 4100, "true"),
+    "custom_class": ("id [A-Z][^a-z, ]*", "id [A-Z][^a-z, ]*", 4100, "true"),
     "custom_optional": ("^xoxb?-[0-9]+-\\d\\d\\d-$", "xoxb?-[0-9]+-[0-9][0-9][0-9]-", 60, "true"),
     "custom_negated": ("host\\s\\D?\\d+\\.\\d*\\W", "host[ \\t\\n\\f\\r][^0-9]?[0-9]+[.][0-9]*[^0-9A-Za-z_]", 60, "true"),
     "custom_pipe": ("a|b", "a[|]b", 3, "true"),
@@ -78,6 +79,18 @@ def binary_check(spark, sf_dir) -> DataFrame:
     return docs.select("doc_id", is_binary(F.encode(F.col("text"), "UTF-8")).alias("plain"), is_binary(F.encode(F.left(bad, F.lit(1 << 30)), "UTF-8")).alias("with_nul"))
 
 
+READ_LIMIT = 5000  # bytes of a content in the reading queries
+
+
+def read_contents(spark, sf_dir, mode: str) -> DataFrame:
+    """Documents as files' contents, some led by a byte that no UTF-8 text has or by a NUL,
+    some too large, read in one of the modes."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lead = F.when(F.col("doc_id") % 4 == 1, F.unhex(F.lit("FF"))).when(F.col("doc_id") % 4 == 2, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("")))
+    contents = docs.select(F.col("doc_id").cast("string").alias("path"), F.lit(None).cast("string").alias("relative"), F.concat(lead, F.encode("text", "UTF-8")).alias("content"), F.lit(None).cast("string").alias("error"))
+    return judge(contents, mode, READ_LIMIT).select("path", "text", "status", "reason")
+
+
 def clean_documents(spark, sf_dir) -> DataFrame:
     """Documents without a finding of any detector, as they are."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -107,6 +120,9 @@ QUERIES |= {
     "report_json": report_json,
     "is_binary": binary_check,
     "clean_documents": clean_documents,
+    "read_strict": partial(read_contents, mode="skip"),
+    "read_failing_on_binary": partial(read_contents, mode="fail"),
+    "read_best_effort": partial(read_contents, mode="best-effort"),
 }
 
 _DOCS = planted_sql()
@@ -134,5 +150,8 @@ ORACLE_SQL |= {
     "scan_summary": oracle.merged_ctes(oracle.ALL, _DOCS) + " SELECT (SELECT count(*) FROM documents) AS files_processed, CAST(0 AS BIGINT) AS files_skipped, CAST(0 AS BIGINT) AS files_errored, (SELECT count(*) FROM f) AS total_findings",
     "report_json": oracle.json_sql(oracle.ALL, _DOCS),
     "is_binary": "SELECT doc_id, octet_length(encode(text)) - octet_length(encode(regexp_replace(text, '[\\x01-\\x06\\x0e-\\x1a\\x1c-\\x1f]', '', 'g'))) > 0.3 * greatest(least(strlen(text), 8192), 1) AS plain, doc_id % 3 = 0 AND strlen(text) < 8192 AS with_nul FROM documents",
+    "read_strict": oracle.reading_sql(READ_LIMIT, "skipped"),
+    "read_failing_on_binary": oracle.reading_sql(READ_LIMIT, "error"),
+    "read_best_effort": oracle.reading_sql(READ_LIMIT, None),
     "clean_documents": oracle.merged_ctes(oracle.ALL) + " SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT k FROM f)",
 }
