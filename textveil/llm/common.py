@@ -108,9 +108,6 @@ def fold_col(col, k: int):
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(k)
 
 
-_MASK = (1 << 64) - 1
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over a uint64 array."""
     x = x.copy()
