@@ -13,12 +13,3 @@ from pyspark.sql import functions as F
 
 def to_bytes_view(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
-
-
-def from_bytes_view(view: Column) -> Column:
-    return F.decode(F.encode(view, "ISO-8859-1"), "UTF-8")
-
-
-def literal_view(text: str) -> str:
-    """The byte view of a string known on the driver."""
-    return text.encode("utf-8").decode("latin-1")
