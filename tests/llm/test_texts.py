@@ -107,6 +107,35 @@ def test_decontamination(spark, odd_docs):
     assert contaminated(odd_docs, benchmark).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark):
+    """Every text against every item: a shared seed, then the plain alignment of whole texts."""
+    import re
+
+    rng = random.Random(31)
+    vocabulary = ["ab", "Cd", "ef", "GH", "ij", "kl", "mn"]
+    made = lambda lo, hi: " ".join(rng.choices(vocabulary, k=rng.randrange(lo, hi))) + rng.choice(["", ".", "!? "])
+    items = [(i, made(1, 14)) for i in range(25)] + [(90, ""), (91, None), (3, made(9, 12))]
+    docs = [(i, made(0, 24)) for i in range(60)] + [(200, None), (None, made(8, 20)), (5, made(8, 20))]
+    words = lambda t: [w.lower() for w in re.split(r"[^0-9A-Za-z]+", t or "") if w]
+    want: dict = {}
+    for d, text in set(docs):
+        there = words(text)
+        for i, item in set(items):
+            mine = words(item)
+            k = min(4, len(mine))
+            if not k or not {tuple(mine[a : a + k]) for a in range(len(mine) - k + 1)} & {tuple(there[a : a + k]) for a in range(len(there) - k + 1)}:
+                continue
+            similarity = slow_align(mine, there) / (2 * len(mine))
+            if similarity >= (0.4 if len(mine) >= 8 else 1.0):
+                key = (d, text, i)
+                want[key] = max(similarity, want.get(key, 0))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = {r.h: r.text for r in df.select(F.xxhash64("text").alias("h"), "text").collect()}
+    found = contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, texts[r.row], r.item_id): r.similarity for r in found}
+    assert len(found) == len(got) and got == want and len(want) > 100
+
+
 def test_short_items_inside_longer_texts(spark):
     docs = [(1, "this is much too short to matter at all"), (2, "too. SHORT"), (3, "short too"), (4, "one"), (5, "five words stand here now"), (6, "all five words stand here, now then"), (7, "five words stand there now")]
     items = [(0, "too short"), (1, "one"), (2, "five words stand here now"), (3, "much too short")]
