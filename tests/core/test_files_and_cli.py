@@ -32,7 +32,7 @@ def test_walk(tree):
     assert by[".hidden"].reason == "Hidden file/directory" and by["link"].reason == "Symlink (not following)"
     assert by["b.txt"].relative == "sub/b.txt"
     assert sum(e.eligible for e in collect_files(str(tree), include_hidden=True, follow_symlinks=True)) == 6
-    assert {e.reason for e in collect_files(str(tree), max_file_size=4) if "max file" in (e.reason or "")} == {f"Exceeds max file size ({n} bytes)" for n in (20, 11, 29)}
+    assert {e.reason for e in collect_files(str(tree), max_file_size=4) if "max file" in (e.reason or "")} == {f"Exceeds max file size ({n} bytes)" for n in (20, 11, 30)}
     os.symlink("/etc", tree / "out")
     assert any("outside root" in (e.reason or "") for e in collect_files(str(tree), follow_symlinks=True))
 
@@ -86,8 +86,8 @@ def test_files_below_a_uri(spark, tree, tmp_path, capsys):
     out = f"file://{tmp_path}/table"
     assert run(["--input", f"file://{tree}", "--output", out, "--max-file-size", "26", "--report-json"], spark) == 0
     files = {f["path"].split("/")[-1]: f for f in json.loads(capsys.readouterr().err)["files"]}
-    assert {k: f["status"] for k, f in files.items()} == {"a.txt": "processed", "b.txt": "processed", "bin.dat": "skipped", "bad.txt": "skipped"}
-    assert files["bad.txt"]["reason"] == "Exceeds max file size (29 bytes)" and files["b.txt"]["path"] == "sub/b.txt"
+    assert {k: f["status"] for k, f in files.items()} == {"a.txt": "processed", "b.txt": "processed", "bin.dat": "skipped", "bad.txt": "skipped", "link": "processed"}
+    assert files["bad.txt"]["reason"] == "Exceeds max file size (30 bytes)" and files["b.txt"]["path"] == "sub/b.txt"
     table = spark.read.parquet(out)
     assert {r.masked for r in table.collect()} == {f"mail {EMAIL}", "plain words"} and table.columns == ["path", "masked"]
     assert run(["--input", f"file://{tree}", "--in-place"], spark) == 2

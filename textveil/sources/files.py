@@ -127,7 +127,7 @@ def read_uri(spark: SparkSession, uri: str, mode: str = "skip", max_size: int =
 
     Executors list and read. Files over the size are skipped with a reason before their
     contents are read. Names with a leading dot or underscore, which Spark's readers don't
-    list, have no row.
+    list, have no row. Links are what the file system makes of them; object stores have none.
     """
     root = spark._jvm.org.apache.hadoop.fs.Path(uri)
     top = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
