@@ -2,12 +2,14 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
 from textveil.llm import context_mixing as cm
-from textveil.llm.mixing_lm import WordCounts, distinct, learn_spelling, learn_words
+from textveil.llm.common import fold
+from textveil.llm.mixing_lm import WordCounts, distinct, learn_spelling, learn_words, score_texts
 
 ENDS, REST = 7, 5
 FREQUENT = [(b"the", 30), (b"of", 12), (b"sea", 4), (b"hill", 2)]
@@ -275,3 +277,30 @@ def test_repeated_text_scores_better():
     (t,) = texts_of([[b"odd", b"sea", b"hill", b"sea", b"odd"], [b"sea", b"odd", b"sea", b"odd", b"hill"]])
     seen, new = model.log_probs(t, np.zeros(2, bool))[0]
     assert seen > new
+
+
+def test_weights_are_learned_from_every_learned_text_and_word(spark, monkeypatch):
+    """However many and long they are: all bits meet in the cells, and how rows are dealt out changes nothing."""
+    rng, seen = random.Random(5), []
+    rows = [(i, " ".join(rng.choice(["the", "of", "sea", "hill", f"w{i}"]) for _ in range(rng.randrange(9)))) for i in range(1_500)]
+    rows += [(1_500 + i, " ".join(rng.choice(["the", "of", f"v{j}"]) for j in range(7_000))) for i in range(3)]
+    rows.append((1_600, "long" * 40))
+    docs, fit = spark.createDataFrame(rows, "doc_id long, text string"), cm.Cells.fit
+
+    def fitted(cells, groups):
+        seen.append(np.array(groups))
+        fit(cells, groups)
+
+    monkeypatch.setattr(cm.Cells, "fit", fitted)
+    one, two = (sorted(map(tuple, score_texts(docs.repartition(n)).select("doc_id", "score").collect())) for n in (1, 5))
+    assert one == two and [x.tolist() for x in seen[:2]] == [x.tolist() for x in seen[2:]]
+
+    learned = [t.encode().split() for i, t in rows if fold(i, 7) != 2]
+    assert any(len(t) == 7_000 for t in learned) and len(learned) > 1_000
+    counts = Counter(w for t in learned for w in t)
+    coded = sorted(((w, c) for w, c in counts.items() if 1 < c and len(w) <= 64), key=lambda x: (-x[1], x[0]))
+    model = cm.WordModel(coded, sum(counts.values()) - sum(c for _, c in coded), len(learned))
+    bits = [int(cm.Paths(model.tree, model.symbols(t)[0]).size.sum()) for t in texts_of(learned)]
+    spelled = [w for w in counts if w not in dict(coded)]
+    assert b"long" * 40 in spelled and seen[0].sum() == sum(bits)
+    assert seen[1].sum() == sum(cm.Paths(cm.Speller(coded).tree, np.array([*w, cm.STOP])).size.sum() for w in spelled)
