@@ -61,6 +61,24 @@ def test_long_words_of_equal_polynomial_hash(spark):
     assert got == brute_components(rows) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
 
 
+def test_sent_rows_are_small(spark, monkeypatch):
+    """Counting shingles sends them alone, and count vectors, however uneven, travel in half the bytes or as they are."""
+    from textveil.llm import jaccard_join
+
+    rng = np.random.default_rng(1)
+    for v in (rng.integers(0, 16, 128), rng.integers(0, 200, 256), np.zeros(128, int)):
+        v = v.astype(np.uint8)
+        x = jaccard_join.narrow(v)
+        assert jaccard_join.wide(x) == v.tobytes() and len(x) == (len(v) // 2 if v.max() < 16 else len(v) + 1)
+    plans, cut = {}, jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", lambda df, what="t": (plans.setdefault(what, []).append(df._jdf.queryExecution().toString()), cut(df, what))[1])
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[:250] + [f"x{i}"] * 6)) for i in range(5)] + [(9, " ".join(["same word again"] * 90)), (10, None)]
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_components(rows) and {c for _, _, c in got} == {0, 9, 10}
+    assert "max(node" not in plans["buckets"][0]
+
+
 def test_forest_spans_components():
     rng = np.random.default_rng(1)
     v = np.repeat(rng.integers(0, 9, (6, 128)), 30, 0).astype(np.uint8)

@@ -8,7 +8,7 @@ Shape of the work, all of it over every row and every whole text:
    shingles are frequent.
 2. Prefix rows: ordered by (frequent, hash), two sets with similarity s share one
    of their first ``n - ceil(s n) + 1`` shingles. Shingles that only one node has are
-   dropped by a combining aggregate on (least, greatest node) and a bit filter of
+   dropped by a combining count (each node sends a shingle once) and a bit filter of
    fixed size.
 3. In each bucket left, tokens hashed to groups give count vectors. An R-tree over
    them bounds the overlap by summed coordinate minima. Not all pairs that pass are
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitfilter import bit_filter, flagged, passes
-from .common import FlatWords, batch, cut, keep_only, last_written, lowered_words, shingle_sets, small_batches, table, written
+from .common import FlatWords, batch, cut, drop_shuffles, keep_only, last_written, lowered_words, shingle_sets, small_batches, table, written
 from .graph import connected
 
 LEVEL = 7  # a count vector has 2**LEVEL coordinates at least, and one for 4 to 8 shingles of larger sets
@@ -210,6 +210,19 @@ def _edges(t: pa.Table, keys: int) -> tuple[np.ndarray, np.ndarray]:
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def narrow(v: np.ndarray) -> bytes:
+    """A count vector, two counts in a byte if all are below 16; else an odd byte in front says that they aren't."""
+    return (v[::2] << 4 | v[1::2]).tobytes() if v.max() < 16 else b"\0" + v.tobytes()
+
+
+def wide(x: bytes) -> bytes:
+    """The counts, a byte each."""
+    if len(x) & 1:
+        return x[1:]
+    v = np.frombuffer(x, np.uint8)
+    return np.stack([v >> 4, v & 15], 1).tobytes()
+
+
 class Vectors:
     """Count vectors of rows by level; a row is seen at its own level and, folded, at the one below."""
 
@@ -254,7 +267,7 @@ def _bucket_links(num: int, den: int):
         out = [np.empty((2, 0), np.int64)]
         size = hi - lo
         many = np.repeat(size > 1, size).tolist()
-        v = Vectors([x if m else b"\0" for x, m in zip(t.column(6).to_pylist(), many, strict=True)])
+        v = Vectors([wide(x) if m else b"\0" for x, m in zip(t.column(6).to_pylist(), many, strict=True)])
         for m in range(2, SMALL + 1):
             g = lo[(size == m) & (ci[lo] == cj[lo])]
             for i in range(m) if len(g) else ():
@@ -334,7 +347,7 @@ def _prefixes(k: int, num: int, den: int, hot):
                 node.append(digest(s))
                 n.append(len(s))
                 prefix.append(first[: prefix_len(len(s), num, den)].view(np.int64))
-                vec.append(counts(s).tobytes())
+                vec.append(narrow(counts(s)))
             yield batch(schema, node=node, n=n, prefix=prefix, v=vec)
 
     return run, "node long, n long, prefix array<long>, v binary"
@@ -411,13 +424,16 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
 
     run, schema = _prefixes(k, num, den, hot)
     pre = cut(docs.select("txt").mapInArrow(run, schema).dropDuplicates(["node"]), "prefix")
-    shared = pre.select(F.explode("prefix").alias("s"), "node").groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
-    shared = cut(shared.select("s", "c"), "buckets")
+    drop_shuffles(spark)
+    # a node has one row in ``pre`` and a shingle once in its prefix, so this counts nodes
+    shared = cut(pre.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"), "buckets")
+    drop_shuffles(spark)
     run, schema = _shared_rows(bit_filter(shared, "s"))
     large = cut(shared.filter(F.col("c") > BLOCK), "large")
     rows_in = pre.mapInArrow(run, schema).join(large, "s", "left")
     dealt = _dealt(rows_in, F.ceil(F.coalesce("c", F.lit(1)) / BLOCK), ["s"], ["node", "n", "chunk", "v"])
     links = cut(dealt.mapInArrow(_bucket_links(num, den), "a long, b long").distinct(), "candidates")
+    drop_shuffles(spark)
     clusters = cut(connected(links).withColumnRenamed("comp", "cluster").join(reps, "node"), "clusters")
 
     sizes = cut(clusters.groupBy("cluster").agg(F.sum("n").alias("total")).filter(F.col("total") > CLUSTER), "large")
