@@ -304,3 +304,21 @@ def test_weights_are_learned_from_every_learned_text_and_word(spark, monkeypatch
     spelled = [w for w in counts if w not in dict(coded)]
     assert b"long" * 40 in spelled and seen[0].sum() == sum(bits)
     assert seen[1].sum() == sum(cm.Paths(cm.Speller(coded).tree, np.array([*w, cm.STOP])).size.sum() for w in spelled)
+
+
+def test_four_bits_are_counted_and_looked_up_at_once():
+    """What a block's bits make is all that is counted; pairs follow from it as if each bit were."""
+    rng = np.random.default_rng(6)
+    leaves = rng.integers(0, 9, 64)
+    want = np.zeros((64, 2), int)
+    for at, n in enumerate(leaves.tolist()):
+        for j in range(4):
+            node = (1 << j) - 1 + ((at & 15) >> 4 - j)
+            want[(at & ~15) + node, (at >> 3 - j) & 1] += n
+    assert cm.pairs_of(leaves).tolist() == want.tolist()
+    tree = cm.huffman([2**i for i in range(12)])
+    symbols = np.arange(12)
+    path = cm.Paths(tree, symbols)
+    places = path.slots(0, np.full(12, 1 << 40, np.uint64), BITS)
+    assert len(places) == sum(-(-n // 4) for n in path.size.tolist()) < path.size.sum() / 2
+    assert [int(x) for x in path.block_size] == [k for n in path.size.tolist() for k in [4] * (n // 4) + [n % 4] * (n % 4 > 0)]
